@@ -25,7 +25,9 @@ BROADCAST_RULES = 100_000  # of at most 2 kB each, as URLs are
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    names = ("verdict", "host", "path")
+    table = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rules])
+    return spark.range(1).select(F.inline(table.cast("array<struct<verdict:string,host:string,path:string>>")))
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
