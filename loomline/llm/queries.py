@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import licenses, quality, urls
+import public_tokenizers
+
+from loomline.llm import chat, licenses, packing, quality, secrets, tokens, urls
 from loomline.llm.common import read_table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.match(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -25,9 +54,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {"op6_url_filters": op6_url_filters, "op7_quality_rules": op7_quality_rules, "op10_license_scan": op10_license_scan}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_files": op2_token_files,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_filters": op6_url_filters, "op7_quality_rules": op7_quality_rules, "op10_license_scan": op10_license_scan,
+}
 
 ORACLE_SQL = {
+    "op5_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+said AS (
+  SELECT *, replace(replace(role, '\', '\\'), '<', '\l') AS r, replace(replace(text, '\', '\\'), '<', '\l') AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|' || replace(r, '|', '\p') || '|>' || chr(10) || t || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id
+""",
     "op6_url_filters": r"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
