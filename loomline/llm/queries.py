@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomline.llm import chat, licenses, packing, quality, secrets, tokens, urls
+from loomline.llm import chat, decontaminate, licenses, near_dup, packing, quality, secrets, tokens, toxicity, urls
 from loomline.llm.common import read_table
 
 
@@ -21,6 +21,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per contaminated document: its id, the items and ``item:start:end:edits`` of each passage."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    said = F.transform("__items", lambda x: F.concat_ws(":", x["item_id"], x["start"], x["end"], x["edits"]))
+    items = F.transform("__items", lambda x: x["item_id"].cast("string"))
+    return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(items)), ",").alias("items"), F.array_join(said, ",").alias("passages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -49,6 +58,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, near_dup.Similarity(words=3, percent=85))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -57,6 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
+    "op3_decontaminate": op3_decontaminate,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
     "op6_url_filters": op6_url_filters, "op7_quality_rules": op7_quality_rules, "op10_license_scan": op10_license_scan,
