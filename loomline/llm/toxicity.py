@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
-Features: densities and counts of a lexicon of insults (as written, and only after undoing digits, signs, repeats and
-spacing), their nearness to words of the second person, capitals, punctuation, digits, repeated letters, length. The
-trees are fitted on the driver to a sample of labelled rows whose size is a parameter (``Fit.rows``, the rows with the
-smallest hashes); the last fifth of them calibrates. Scoring is one pass without a shuffle.
+Features: densities and counts of a fixed lexicon of insults (as written, and only after undoing digits, signs, repeats
+and spacing) and of a learned one (words and word beginnings that come in far more toxic than other labelled texts), their nearness to words of the second person, capitals, punctuation, digits, repeated letters, length. The
+trees and the learned lexicon are fitted on the driver to a sample of labelled rows whose size is a parameter
+(``Fit.rows``, the rows with the smallest hashes). While the trees are fitted, a row's learned lexicon is that of the half
+of the sample that it isn't in, so its own label isn't among its features; the last fifth of the sample calibrates. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts have features of their own (all zero) and get a score; with no labelled rows, or
 of one label only, every score is the share of toxic rows (0 if there are none); labels whose id repeats count as toxic if one of
@@ -12,6 +13,7 @@ them is; repeated rows repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +37,13 @@ CACHE = 400_000
 FEATURES = (
     "log_words", "insult_density", "log_insults", "hidden_density", "log_hidden", "near_second", "second_density", "capitals",
     "capital_words", "exclamations", "questions", "punctuation", "signs", "digits", "repeats", "spaced",
+    "learned_density", "log_learned", "learned_second",
 )
 
 
 @dataclass(frozen=True)
 class Fit:
-    rows: int = 20_000  # labelled rows at most
+    rows: int = 6_000  # labelled rows at most
     trees: int = 60
     depth: int = 3
     rate: float = 0.15
@@ -55,8 +58,43 @@ def _squeezed(word: str) -> str:
 _SQUEEZED = {_squeezed(w) for w in LEXICON}
 
 
+STEMS = (5, 7)  # letters of a word's beginning that the learned lexicon looks at, besides the whole word
+
+
+def word_of(token: str) -> str:
+    return token.strip(_EDGE).lower()
+
+
+def beginnings(word: str) -> list[str]:
+    return [f"{word[:k]}-" for k in STEMS if len(word) > k] + [word]
+
+
+def learned_lexicon(texts: list[str], y: np.ndarray, most: int = 200) -> dict[str, float]:
+    """Words and beginnings and their log odds ratios, of those whose difference is beyond four standard errors."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    if not n1 or not n0:
+        return {}
+    words = [{word_of(t) for t in x.split()} for x in texts]
+    seen = Counter(b for w, t in zip(words, y, strict=True) if t for b in {b for x in w if len(x) > 2 for b in beginnings(x)})
+    wanted = {b for b, a in seen.items() if a >= max(5, n1 // 100)}
+    rest = Counter(b for w, t in zip(words, y, strict=True) if not t for b in {b for x in w for b in beginnings(x) if b in wanted})
+    found = []
+    for b in wanted:
+        p1, p0 = (seen[b] + 0.5) / (n1 + 1), (rest[b] + 0.5) / (n0 + 1)
+        z = (p1 - p0) / (p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) ** 0.5
+        if z >= 4 and p1 >= 4 * p0:
+            found.append((-z, b, float(np.log(p1 / p0))))
+    return {b: w for _, b, w in sorted(found)[:most]}
+
+
 class _Kinds(dict):
-    """Of a token: 1 insult, 2 hidden insult, 3 second person, 4 single letter, 5 repeated letters, 0 else; 8 is added for capitals."""
+    """Of a token: 1 insult, 2 hidden insult, 3 second person, 4 single letter, 5 repeated letters, 0 else; 8 is added for
+    capitals, and 16 times the number of the learned lexicon's entry that weighs most."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.number = {b: i + 1 for i, b in enumerate(lexicon)}
+        self.weights = np.array([0.0, *lexicon.values()])
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE:
@@ -72,9 +110,11 @@ class _Kinds(dict):
             kind = 4
         else:
             kind = 2 * self.hidden(token.lower().strip("\"'.,;:?()[]{}")) or 5 * any(low[i] == low[i - 1] == low[i - 2] for i in range(2, len(low)))
+        learned = max((self.number[b] for b in beginnings(low) if b in self.number), key=lambda i: self.weights[i], default=0) if self.number else 0
+        code = kind + loud + 16 * learned
         if len(token) <= 40:
-            self[token] = kind + loud
-        return kind + loud
+            self[token] = code
+        return code
 
     @staticmethod
     def hidden(token: str) -> bool:
@@ -90,17 +130,16 @@ class _Kinds(dict):
         return False
 
 
-_kinds = _Kinds()
 _BYTES = np.zeros((6, 256))
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b"?", b".,;:'\"()-", b"#*$%&|<>@~^_=+/\\", b"0123456789")):
     _BYTES[_i, list(_chars)] = 1
 
 
-def features(text: str) -> list[float]:
+def features(text: str, known: _Kinds) -> list[float]:
     tokens = text.split()
     n = max(len(tokens), 1)
-    kinds = np.fromiter(map(_kinds.__getitem__, tokens), np.int64, len(tokens))
-    low = kinds & 7
+    codes = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    low, loud, learned = codes & 7, codes >> 3 & 1, codes >> 4
     insults, hidden, second = np.flatnonzero(low == 1), np.flatnonzero(low == 2), np.flatnonzero(low == 3)
     spaced = 0
     single = low == 4
@@ -111,17 +150,22 @@ def features(text: str) -> list[float]:
                 run = "".join(t.strip(_EDGE) for t in tokens[a:b]).lower()
                 spaced += run in LEXICON
     hits = np.concatenate([insults, hidden])
-    near = 0.0
-    if len(hits) and len(second):
-        i = np.searchsorted(second, hits)
-        gap = np.minimum(np.abs(hits - second[np.minimum(i, len(second) - 1)]), np.abs(hits - second[np.maximum(i - 1, 0)]))
-        near = float((gap <= 5).mean())
+
+    def near(places: np.ndarray) -> float:
+        if not len(places) or not len(second):
+            return 0.0
+        i = np.searchsorted(second, places)
+        gap = np.minimum(np.abs(places - second[np.minimum(i, len(second) - 1)]), np.abs(places - second[np.maximum(i - 1, 0)]))
+        return float((gap <= 5).mean())
+
+    taught = np.flatnonzero(learned)
     raw = text.encode("utf-8", "surrogatepass")
     chars = _BYTES @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / max(len(raw), 1)
     h = len(hidden) + spaced
     return [
-        np.log1p(len(tokens)), len(insults) / n, np.log1p(len(insults)), h / n, np.log1p(h), near, len(second) / n, chars[0],
-        float((kinds >= 8).sum()) / n, chars[1], chars[2], chars[3], chars[4], chars[5], float((low == 5).sum()) / n, spaced / n,
+        np.log1p(len(tokens)), len(insults) / n, np.log1p(len(insults)), h / n, np.log1p(h), near(hits), len(second) / n, chars[0],
+        float(loud.sum()) / n, chars[1], chars[2], chars[3], chars[4], chars[5], float((low == 5).sum()) / n, spaced / n,
+        float(known.weights[learned].sum()) / n, np.log1p(len(taught)), near(taught),
     ]
 
 
@@ -207,9 +251,19 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.array([x for b in blocks for x in (b[0], b[0])])
 
 
+_readers: dict[tuple, _Kinds] = {}
+
+
 class Model:
-    def __init__(self, x: np.ndarray, y: np.ndarray, fit: Fit):
+    def __init__(self, texts: list[str], y: np.ndarray, fit: Fit):
         self.share = float(y.mean()) if len(y) else 0.0
+        self.lexicon = learned_lexicon(texts, y)
+        halves = np.arange(len(y)) % 2
+        x = np.zeros((len(y), len(FEATURES)))
+        for half in (0, 1):
+            known = _Kinds(learned_lexicon([t for t, h in zip(texts, halves, strict=True) if h != half], y[halves != half]))
+            for i in np.flatnonzero(halves == half):
+                x[i] = features(texts[i], known)
         self.trees = None
         if len(y) >= 10 and 0 < self.share < 1:
             last = len(y) - len(y) // 5
@@ -217,6 +271,13 @@ class Model:
                 self.trees = Boosted(fit).train(x[:last], y[:last])
                 self.xs, self.ys = isotonic(self.trees.raw(x[last:]), y[last:])
 
+    def read(self, texts: list[str]) -> np.ndarray:
+        key = tuple(self.lexicon.items())
+        if key not in _readers:
+            _readers.clear()
+            _readers[key] = _Kinds(self.lexicon)
+        return np.array([features(t, _readers[key]) for t in texts], float).reshape(-1, len(FEATURES))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(x), self.share)
@@ -238,14 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     # The sample's size is the parameter's, so its ids are small enough to send to every task.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("__hash"), x, batch.column("__y")], names=["hash", "x", "y"])
-
-    got = rows.select("__hash", "text", "__y").mapInArrow(run, "hash long, x array<double>, y double").orderBy("hash", "x").limit(fit.rows).toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    return Model(x, got.column("y").to_numpy(), fit)
+    got = rows.select("__hash", "text", "__y").orderBy("__hash", "text").limit(fit.rows).toArrow()
+    return Model(got.column("text").to_pylist(), got.column("__y").to_numpy(), fit)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,8 +308,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            scores = model.score(model.read(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
