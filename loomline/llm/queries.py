@@ -81,7 +81,11 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
-    "op6_url_filters": op6_url_filters, "op7_quality_rules": op7_quality_rules, "op10_license_scan": op10_license_scan,
+    "op6_url_filters": op6_url_filters,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
