@@ -38,7 +38,7 @@ def test_oracle(spark, duck, name):
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want.select(*columns).fetchall())
 
 
-@pytest.mark.parametrize("name", ["J13_token_pairs", "R1_global_agglom", "R8_guarded_graph", "E10_colour_split", "E11_temporal_nms", "T16_iou_linker", "T1_match_or_expand", "R11_weak_edges", "V5_identity_f1"])
+@pytest.mark.parametrize("name", ["J13_token_pairs", "R1_global_agglom", "R8_guarded_graph", "E10_colour_split", "E11_temporal_nms", "T16_iou_linker", "T1_match_or_expand", "R11_weak_edges", "V5_identity_f1", "R12_label_propagation"])
 def test_rows(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
 
