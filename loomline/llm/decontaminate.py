@@ -49,9 +49,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The characters that are compared and their places in the text."""
+    """The characters that are compared and their places in the text. Texts in Latin-1 stay a byte a character."""
     kept, lower = _tables()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    try:
+        points = np.frombuffer(text.encode("latin-1"), np.uint8)
+        lower = lower[:256].astype(np.uint8)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     at = np.flatnonzero(kept[points])
     return lower[points[at]], at
 
@@ -60,11 +64,8 @@ def grams(chars: np.ndarray) -> np.ndarray:
     """The q-grams as 64-bit numbers: a byte of each character (alignment compares whole characters)."""
     if len(chars) < Q:
         return np.empty(0, np.uint64)
-    low = (chars ^ (chars >> np.uint32(8))).astype(np.uint8).astype(np.uint64)
-    out = np.zeros(len(chars) - Q + 1, np.uint64)
-    for i in range(Q):
-        out = out << np.uint64(8) | low[i : len(low) - Q + 1 + i]
-    return out
+    low = chars if chars.dtype == np.uint8 else (chars ^ (chars >> np.uint32(8))).astype(np.uint8)
+    return np.ndarray(len(low) - Q + 1, "<u8", np.ascontiguousarray(low), strides=(1,)).astype(np.uint64)
 
 
 def edits_allowed(m: int, percent: int) -> int:
@@ -94,6 +95,12 @@ def align(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
     return (int(cost[end]), int(start[end]), end) if cost[end] <= most else None
 
 
+def verify(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """The alignment; where the pattern occurs as it is, that needs no table."""
+    at = text.astype("<u4").tobytes().find(pattern.astype("<u4").tobytes())
+    return (0, at // 4, at // 4 + len(pattern)) if at >= 0 and at % 4 == 0 else align(pattern, text, most)
+
+
 class Index:
     def __init__(self, items: list[tuple[object, str]], budget: Budget):
         self.windows: list[tuple[object, np.ndarray, int, int, int]] = []  # item, characters, edits, threshold, log2 of the step
@@ -160,7 +167,7 @@ class Index:
             item, pattern, most, _, step = self.windows[w]
             lo = max(b << step, 0)
             hi = min(((b + 1) << step) + 2 * most + len(pattern), len(chars))
-            if hit := align(pattern, chars[lo:hi], most):
+            if hit := verify(pattern, chars[lo:hi], most):
                 edits, start, end = hit
                 found.append((item, int(at[lo + start]), int(at[lo + end - 1]) + 1, edits))
         merged: list[list] = []
