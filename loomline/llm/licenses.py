@@ -2,7 +2,7 @@
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Every rolling gram of
 ``k`` words of every text is joined to the grams of the templates (a Spark join on the gram's hash that also compares
-the words, so a hash collision gives no hit). A hit votes for its diagonal, the text position minus the template
+the gram itself, so a hash collision gives no hit). A hit votes for its diagonal, the text position minus the template
 position. A phrase stands where all its grams vote for one diagonal. For longer templates, diagonals less than
 ``slack`` words apart are merged (insertions and deletions shift a diagonal), and a merged span counts if its hits
 cover ``coverage`` of the template's grams within a stretch not much longer than the template.
@@ -39,14 +39,18 @@ TEMPLATES = {
 }
 
 
-def words_of(text: Column) -> Column:
-    trimmed = F.trim(F.regexp_replace(ascii_lower_fast(text), BREAK, " "))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, " ")).otherwise(F.array().cast("array<string>"))
+def words_of(lowered: Column) -> Column:
+    """Splits once; only the first and the last part can be empty."""
+    parts = F.split(lowered, BREAK)
+    first = (F.element_at(parts, 1) == "").cast("int")
+    last = ((F.element_at(parts, -1) == "") & (F.size(parts) > 1)).cast("int")
+    return F.slice(parts, first + 1, F.size(parts) - first - last)
 
 
-def ascii_lower_fast(text: Column) -> Column:
-    """A-Z lower-cased: whole-string ``lower`` where the text is ASCII, else letter by letter."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+def lowered(text: Column) -> Column:
+    """A-Z in lower case. Unlike it, ``lower`` also changes letters beyond ASCII, which are in words either way and in no
+    template; the Kelvin sign is the one that it would turn into a letter of A-Z."""
+    return F.when(F.contains(text, F.lit("\u212a")), ascii_lower(text)).otherwise(F.lower(text))
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
@@ -56,25 +60,24 @@ def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, templ
             words = text.split(" ")
             if len(words) < k:
                 raise ValueError(f"{label}: fewer than {k} words")
-            rows += [(kind, label, i, len(words) - k + 1, *words[i : i + k]) for i in range(len(words) - k + 1)]
-    df = spark.createDataFrame(rows, "kind string, label string, t_at int, t_grams int, " + ", ".join(f"t_{i} string" for i in range(k)))
-    return df.withColumn("gram", F.xxhash64(*[f"t_{i}" for i in range(k)]))
+            rows += [(kind, label, i, len(words) - k + 1, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
+    df = spark.createDataFrame(rows, "kind string, label string, t_at int, t_grams int, t_gram string")
+    return df.withColumn("t_hash", F.xxhash64("t_gram"))
 
 
 def hits(docs: DataFrame, grams: DataFrame, k: int = K, broadcast: bool = True) -> DataFrame:
     """A row per document (``at`` = -1, with its number of words) and per gram that it shares with a template."""
-    df = docs.withColumn("__words", words_of(F.col("__text")))
+    df = docs.select("doc_id", "__uid", lowered(F.col("__text")).alias("__low"))
+    df = df.select("doc_id", "__uid", words_of(F.col("__low")).alias("__words"))
+    gram = lambda i: F.concat(*[x for j in range(k) for x in (F.lit(" "), F.get("__words", i + j))][1:])
     n = F.size("__words")
-    rolling = F.arrays_zip(*[F.slice("__words", i + 1, F.greatest(n - (k - 1), F.lit(0))).alias(f"w_{i}") for i in range(k)])
-    names = ", ".join(f"w_{i}:string" for i in range(k))
-    head = F.array(F.struct(*[F.lit(None).cast("string").alias(f"w_{i}") for i in range(k)])).cast(f"array<struct<{names}>>")
-    df = df.select("doc_id", "__uid", n.alias("n_words"), F.concat(head, rolling.cast(f"array<struct<{names}>>")).alias("__rolling"))
-    df = df.select("doc_id", "__uid", "n_words", F.posexplode("__rolling").alias("__pos", "__gram"))
-    df = df.select("doc_id", "__uid", F.when(F.col("__pos") == 0, F.col("n_words")).alias("n_words"), (F.col("__pos") - 1).alias("at"), *[F.col("__gram")[f"w_{i}"].alias(f"w_{i}") for i in range(k)])
-    df = df.withColumn("gram", F.when(F.col("at") >= 0, F.xxhash64(*[f"w_{i}" for i in range(k)])))
-    same = df["gram"] == grams["gram"]
-    for i in range(k):
-        same = same & (df[f"w_{i}"] == grams[f"t_{i}"])
+    head = F.array(F.lit(None).cast("string"))
+    grams_of = F.when(n >= k, F.concat(head, F.transform(F.sequence(F.lit(0), n - k), gram))).otherwise(head)
+    df = df.select("doc_id", "__uid", n.alias("n_words"), grams_of.alias("__grams"))
+    # Never empty. The outer form keeps the optimizer from filtering by the array's size, which would compute it twice.
+    df = df.select("doc_id", "__uid", "n_words", F.posexplode_outer("__grams").alias("__pos", "gram"))
+    df = df.select("doc_id", "__uid", "n_words", (F.col("__pos") - 1).alias("at"), "gram", F.xxhash64("gram").alias("hash"))
+    same = (df["hash"] == grams["t_hash"]) & (df["gram"] == grams["t_gram"])
     joined = df.join(F.broadcast(grams) if broadcast else grams, same, "left")
     return joined.where((F.col("at") < 0) | F.col("label").isNotNull()).select("doc_id", "__uid", "n_words", "at", "kind", "label", "t_at", "t_grams")
 
