@@ -113,10 +113,14 @@ class Encoder:
     def _spaced(self, text: str) -> bytes:
         if self._odd(text):
             return self.whole(text)
-        if "  " in text or "\n " in text:
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
             return b"".join(map(self.raw.__getitem__, _RUNS.findall(text)))
-        first, *rest = text.split(" ")
-        return self.raw[first] + b"".join(map(self.after_space.__getitem__, rest))
+        # White space comes singly: a line feed is a token, a space goes with the word after it.
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.raw[first] + b"".join(map(self.after_space.__getitem__, rest)))
+        return self.raw["\n"].join(lines)
 
     def _worded(self, text: str) -> bytes:
         if self._odd(text):
