@@ -2,7 +2,7 @@
 
 Each rule is a regular expression. From its syntax tree a Boolean query over trigrams is derived that every match
 satisfies: an alternation is an OR of its branches, a sequence an AND of what its parts and their joins demand (the
-method of public code-search engines). Every Arrow batch of documents is indexed by the trigrams that some rule asks
+method of public code-search engines). Every block of ``BLOCK`` documents is indexed by the trigrams that some rule asks
 for, postings are intersected and united as the query says, and only the documents left are searched with the
 expression. A rule that demands no trigram is run over every document.
 
@@ -15,7 +15,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._constants as C
 import re._parser as parser
@@ -53,6 +52,7 @@ MORE = (
 )
 
 # A query is True (no demand), a trigram, or ("and" | "or", queries).
+BLOCK = 500  # documents that an index holds, which bounds its memory
 SETS = 24  # strings that a set may hold before only its trigrams are kept
 
 
@@ -237,13 +237,19 @@ def find_spans(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int
     return found
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(lo, BLOCK)
+
+
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, the count ``n_<kind>`` of each base rule, ``base_spans`` and ``spans`` (``kind:start:end`` by start, then rule)."""
     rules = base + more
     counts = [f"n_{r.kind}" for r in base]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             found = find_spans(batch.column("text").to_pylist(), rules)
             said = [[(k, f"{rules[k].kind}:{a}:{b}") for a, k, b in spans] for spans in found]
             columns = [batch.column("doc_id")]
@@ -262,7 +268,7 @@ def redact(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             texts = batch.column("text").to_pylist()
             found = find_spans([t or "" for t in texts], rules)
             for i, spans in enumerate(found):
@@ -282,7 +288,3 @@ def redact(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     return docs.mapInArrow(run, schema)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -2,8 +2,8 @@
 
 **Encoder.** Ids come from the ``tokenizers`` library; the vocabulary file's path is a parameter. Both kinds of
 vocabulary that are supported cut a text at white space before they merge, so a text's ids are the ids of its words
-in order. The encoder keeps the ids of words and of their pre-tokens that it has met, as bytes, in two caches that are
-emptied at ``CACHE`` entries. A word outside ASCII and the Latin-1 letters goes to the library as it is, and a text
+in order. The encoder keeps the ids of words and of their pre-tokens that it has met, as bytes, in caches that are
+emptied at ``WORDS`` and ``CACHE`` entries. A word outside ASCII and the Latin-1 letters goes to the library as it is, and a text
 with unusual white space goes there whole, so that nothing depends on how this module classifies characters.
 
 **Files.** A shard is three files: ``.bin`` (unsigned 16-bit ids, or 32-bit where the vocabulary needs them, little
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import work_path
 
-CACHE = 600_000
+CACHE, WORDS = 400_000, 200_000
 NO_ID = -(2**63)
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SMALL = "a-zß-öø-ÿ"
@@ -47,12 +47,12 @@ _RUNS = re.compile(r"\s*\S+|\s+")
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         out = self.make(key)
         if len(key) <= 64:
@@ -78,9 +78,9 @@ class Encoder:
             self.encode, self.pattern, self.lower = self._worded, _WORDS, True
         else:
             self.encode = self.whole
-        self.tokens = _Cache(self._token)
-        self.raw = _Cache(self._chunk)
-        self.after_space = _Cache(lambda c: self._chunk(" " + c))
+        self.tokens = _Cache(self._token, CACHE)
+        self.raw = _Cache(self._chunk, WORDS)
+        self.after_space = _Cache(lambda c: self._chunk(" " + c), WORDS)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.table = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}  # bytes as the library spells them
