@@ -56,8 +56,8 @@ def global_agglom(spark, sf):
 
 @query("R8_guarded_graph")
 def guarded_graph(spark, sf):
-    """Edges by score, except where two tracks of one stream meet in time; groups are capped at 40."""
-    t = tracklets(detections(spark, sf)).where("n_dets >= 4").select("seq", "video", "camera", "frame0", "frame1", "day")
+    """Edges by score, except where two tracks of one stream meet in time; groups are capped at 40. Tracks without an edge stay alone."""
+    t = tracklets(detections(spark, sf)).select("seq", "video", "camera", "frame0", "frame1", "day")
     bars = joins.interval_pairs(t, ["video", "camera"], "frame0", "frame1", "seq", 120).select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), F.lit(-1.0).alias("score"))
     tv = tracklet_vectors(spark, sf, t.select("seq", "day"))
     b = tv.select("day", F.col("seq").alias("j"), F.col("vec").alias("vec_j"))
@@ -73,7 +73,9 @@ def guarded_graph(spark, sf):
         labels = kernels.guarded_merge(ids, list(zip(real.i, real.j, real.score, strict=True)), barred, 40)
         return pd.DataFrame({"seq": list(labels), "gid": list(labels.values())})
 
-    return rows.groupBy("root").applyInPandas(solve, "seq long, gid long")
+    solved = rows.groupBy("root").applyInPandas(solve, "seq long, gid long")
+    alone = t.join(roots.select(F.col("id").alias("seq")), "seq", "left_anti").select("seq", F.col("seq").alias("gid"))
+    return solved.unionByName(alone)
 
 
 @query("R11_weak_edges")
@@ -99,7 +101,7 @@ def weak_edges(spark, sf):
 @query("R20_scoped_resolve")
 def scoped_resolve(spark, sf):
     """Average linkage within each video: the scopes are the groups."""
-    tv = tracklet_vectors(spark, sf, tracklets(detections(spark, sf)).where("n_dets >= 3").select("seq", "video"))
+    tv = tracklet_vectors(spark, sf, tracklets(detections(spark, sf)).select("seq", "video"))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
@@ -186,9 +188,9 @@ def fold(rows: pd.DataFrame, matcher: kernels.Matcher) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["scope", "seq", "step", "gid", "decision_type", "admit_reason", "candidates", "scores", "vetoes"])
 
 
-def matched(spark: SparkSession, sf: str) -> DataFrame:
+def matched(spark: SparkSession, sf: str, min_dets: int = 4) -> DataFrame:
     d = detections(spark, sf)
-    t = tracklet_vectors(spark, sf, tracklets(d).where("n_dets >= 4").select("seq", "camera", "video", "t0"))
+    t = tracklet_vectors(spark, sf, tracklets(d).where(F.col("n_dets") >= min_dets).select("seq", "camera", "video", "t0"))
     rows = match_rows(t, d)
     return rows.groupBy("scope").applyInPandas(lambda g: fold(g, kernels.Matcher()), DECISION)
 
@@ -196,7 +198,7 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
 @query("T1_match_or_expand")
 def match_or_expand(spark, sf):
     """The ordered fold of the matcher per camera; the streaming twin is in ``loomline.streaming``."""
-    return matched(spark, sf).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
+    return matched(spark, sf, min_dets=1).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
 
 
 @query("T6_decision_states", f"WITH {DEC} SELECT gid, CASE WHEN max((decision_type = 'forced')::INT) = 1 THEN 'forced' WHEN count(*) FILTER (WHERE admitted) * 2 >= count(*) THEN 'committed' ELSE 'provisional' END AS status FROM dec GROUP BY gid")
