@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are compared as their letters and digits, lower-cased. An item is cut into overlapping windows
-of ``window`` characters; a window of m characters may be met with up to e = ``edit_percent`` of m edits. Such an
+of ``window`` characters, and again into short ones of ``part`` characters every ``stride``, so that any ``part + stride - 1``
+characters of an item hold a whole one; the long ones find what has its edits close together, and a short one is not tried
+where they have found its part. A window of m characters may be met with up to e = ``edit_percent`` of m edits. Such an
 occurrence shares at least t = m + 1 - q (e + 1) q-grams with the window, all on diagonals (text position minus window
 position) within e of one another. Shared q-grams are counted in diagonal bands of width 2^k + e that start every 2^k
 diagonals, so that some band holds them all; bands with t votes are retained and verified by banded alignment. Where t would
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 1_300_000  # each is in about twelve windows
 
 
 @dataclass(frozen=True)
 class Budget:
     window: int = 160
+    part: int = 60
+    stride: int = 6
     edit_percent: int = 10
 
 
@@ -103,22 +107,22 @@ def verify(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int,
 
 class Index:
     def __init__(self, items: list[tuple[object, str]], budget: Budget):
-        self.windows: list[tuple[object, np.ndarray, int, int, int]] = []  # item, characters, edits, threshold, log2 of the step
+        self.windows: list[tuple[object, np.ndarray, int, int, int, int]] = []  # item, characters, edits, threshold, log2 of the step, place in the item
         keys, owners, places = [], [], []
         for item, text in items:
             chars, _ = normalized(text or "")
             m = len(chars)
             if m < Q:
                 continue
-            cuts = [0] if m <= budget.window else [*range(0, m - budget.window, budget.window // 2), m - budget.window]
-            for lo in cuts:
-                part = chars[lo : lo + budget.window]
+            cuts = {(lo, min(m, lo + n)) for n, by in ((budget.window, budget.window // 2), (budget.part, budget.stride)) for lo in [*range(0, m - n, by), max(0, m - n)]}
+            for lo, hi in sorted(cuts, key=lambda c: (c[0] - c[1], c)):
+                part = chars[lo:hi]
                 e = edits_allowed(len(part), budget.edit_percent)
                 g = grams(part)
                 keys.append(g)
                 owners.append(np.full(len(g), len(self.windows)))
                 places.append(np.arange(len(g)))
-                self.windows.append((item, part, e, len(part) + 1 - Q * (e + 1), max(3, (e + 1).bit_length())))
+                self.windows.append((item, part, e, len(part) + 1 - Q * (e + 1), max(3, (e + 1).bit_length()), lo))
         self.empty = not keys
         if self.empty:
             return
@@ -132,6 +136,7 @@ class Index:
         self.steps = np.array([w[4] for w in self.windows])
         self.edits = np.array([w[2] for w in self.windows])
         self.least = np.array([w[3] for w in self.windows])
+        self.fewest = max(1, int(self.least.min()))
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)
@@ -149,7 +154,7 @@ class Index:
         slot[slot == len(self.unique)] = 0
         real = self.unique[slot] == g[maybe]
         maybe, slot = maybe[real], slot[real]
-        if not len(maybe):
+        if len(maybe) < self.fewest:
             return []
         reps = self.count[slot]
         position = np.repeat(maybe, reps)
@@ -159,16 +164,20 @@ class Index:
         band = diagonal >> k
         second = diagonal - (band << k) < e  # also in the band before
         owner, band = np.concatenate([owner, owner[second]]), np.concatenate([band, band[second] - 1])
-        both, votes = np.unique(np.stack([owner, band]), axis=1, return_counts=True)
+        both, votes = np.unique((owner << 32) + (band + (1 << 31)), return_counts=True)  # a number for each window and band
+        enough = both[votes >= self.least[both >> 32]]
         found = []
-        for (w, b), n in zip(both.T.tolist(), votes.tolist(), strict=True):
-            if n < self.least[w]:
-                continue
-            item, pattern, most, _, step = self.windows[w]
+        known: dict[object, list[tuple[int, int, int, int]]] = {}  # of an item: the parts found, in the item and in the text
+        for w, b in zip((enough >> 32).tolist(), ((enough & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
+            item, pattern, most, _, step, place = self.windows[w]
+            # The band is of diagonals within the window, so of text positions of its start.
             lo = max(b << step, 0)
             hi = min(((b + 1) << step) + 2 * most + len(pattern), len(chars))
+            if any(x <= place and place + len(pattern) <= y and u <= (lo + hi) // 2 < v for x, y, u, v in known.get(item, ())):
+                continue
             if hit := verify(pattern, chars[lo:hi], most):
                 edits, start, end = hit
+                known.setdefault(item, []).append((place, place + len(pattern), lo + start, lo + end))
                 found.append((item, int(at[lo + start]), int(at[lo + end - 1]) + 1, edits))
         merged: list[list] = []
         for item, a, b, edits in sorted(set(found), key=lambda x: (str(x[0]), x[1], x[2])):
