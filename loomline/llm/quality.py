@@ -7,8 +7,8 @@ group and distance bucket, so what is shuffled is a row per group and bucket, wh
 nearest the centre make up the new support (a bucket is taken whole, so ties don't depend on order).
 
 Defined results: null or empty text has no words and fails the base rule; null language or source is a group of its
-own; documents of groups under ``min_rows`` join a group of the language's small sources, and where that is small too
-only the base rule speaks; repeated rows count as often as they occur; an empty table gives an empty result.
+own; documents of groups under ``min_rows`` are held against their whole language, those of languages under it against all
+documents, and only where all that pass the base rule are fewer does the base rule alone speak; repeated rows count as often as they occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class QualityRules:
     support: float = 0.75  # share of a group that the estimate is fitted to
     steps: int = 3  # concentration steps
     cutoff: float = 36.0  # squared Mahalanobis distance beyond which a document is rejected; P(chi2_5 > 36) is about 1e-6
-    min_rows: int = 200
+    min_rows: int = 40  # eight for each statistic
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def with_base(docs: DataFrame, rules: QualityRules) -> DataFrame:
     )
 
 
-KEY = ["__lang", "__group"]
+KEY = ["__scope", "__group"]
 
 
 def _start(rows: DataFrame, d: int) -> DataFrame:
@@ -170,10 +170,29 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     d = len(STATISTICS)
     rows = staged(with_base(docs, rules), "quality")
     sizes = staged(rows.where(~F.col("__base_failed")).groupBy("__lang", "__source").agg(F.count("*").alias("__size")), "sizes")
-    grouped = rows.join(sizes, ["__lang", "__source"], "left").withColumn(
-        "__group", F.when(F.coalesce("__size", F.lit(0)) >= rules.min_rows, F.col("__source")).otherwise("small")
+    # A row per language and source. Keys of estimates start with how wide they are.
+    whole = Window.partitionBy("__lang")
+    levels = sizes.withColumn("__lang_size", F.sum("__size").over(whole)).withColumn("__small", F.col("__size") < rules.min_rows)
+    levels = levels.withColumn("__in_lang", F.col("__small") & (F.col("__lang_size") >= rules.min_rows)).withColumn("__lang_used", F.max("__in_lang").over(whole))
+    levels = levels.select(
+        "__lang",
+        "__source",
+        F.when(~F.col("__small"), F.col("__lang")).when(F.col("__in_lang"), F.concat(F.lit("language "), "__lang")).otherwise("all").alias("__scope"),
+        F.when(~F.col("__small"), F.col("__source")).otherwise("").alias("__group"),
+        "__lang_used",
     )
-    fit = grouped.where(~F.col("__base_failed")).select(*KEY, *[f"__z{i}" for i in range(d)])
+    levels = staged(levels, "levels")
+    all_used = bool(levels.where("__scope = 'all'").limit(1).count())
+    grouped = rows.join(levels, ["__lang", "__source"], "left")
+    key = lambda scope, group: F.struct(scope.alias("__scope"), group.alias("__group"))
+    # A document serves every estimate that is used and that it belongs to.
+    keys = [
+        F.when(F.col("__group") != "", key(F.col("__scope"), F.col("__group"))),
+        F.when(F.col("__lang_used"), key(F.concat(F.lit("language "), "__lang"), F.lit(""))),
+        *[key(F.lit("all"), F.lit(""))] * all_used,
+    ]
+    served = grouped.where(~F.col("__base_failed")).select(F.explode(F.array_compact(F.array(*keys))).alias("__key"), *[f"__z{i}" for i in range(d)])
+    fit = served.select("__key.*", *[f"__z{i}" for i in range(d)])
     params = staged(_start(fit, d), "start")  # a row per group; small plans replan faster than one of thirty stages
     for _ in range(rules.steps):
         params = staged(_concentrate(fit, params, rules.support, d), "step")

@@ -2,7 +2,7 @@
 
 import random
 
-from loomline.llm import decontaminate
+from loomline.llm import decontaminate, quality
 
 
 def letters(rng, n):
@@ -21,3 +21,18 @@ def test_partial_passages(spark):
     found = {r.doc_id: r["__items"] for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert set(found) == set(range(len(texts)))
     assert all([h.item_id for h in found[n]] == [k[0]] for n, k in enumerate(texts))
+
+
+def test_quality_of_small_groups(spark):
+    """Groups of any size get a distance: by their source, else by their language, else by all documents."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(120))
+    junk = lambda: " ".join(w + "%%$$" for w in text().split())
+    rows, at = [], 0
+    for lang, source, good, bad in (("en", "s", 90, 3), ("fr", "s", 70, 3), ("fr", "t", 9, 1), ("de", "s", 12, 1), (None, None, 3, 1)):
+        for t in [*[text() for _ in range(good)], *[junk() for _ in range(bad)]]:
+            rows.append((at, t, lang, source))
+            at += 1
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r["__distance"] is not None for r in got)
+    assert all(r["__kept"] == ("%" not in r["text"]) for r in got)
