@@ -5,7 +5,9 @@ Words are maximal runs of ASCII letters and digits and of non-ASCII characters,
 the gram itself, so a hash collision gives no hit). A hit votes for its diagonal, the text position minus the template
 position. A phrase stands where all its grams vote for one diagonal. For longer templates, diagonals less than
 ``slack`` words apart are merged (insertions and deletions shift a diagonal), and a merged span counts if its hits
-cover ``coverage`` of the template's grams within a stretch not much longer than the template.
+cover ``coverage`` of the template's grams within a stretch not much longer than the template. A short template may miss
+the ``k`` grams of one edited word instead, as long as ``LEAST`` grams are left. Of spans that overlap by half, those of
+another label with the larger share stand (the notices of one family share most of their words).
 
 The templates are a fixed table of a few hundred grams and are broadcast; a caller's larger table (over
 ``BROADCAST_GRAMS``) is joined by a shuffle. What is shuffled otherwise is a row per text and per hit.
@@ -25,6 +27,9 @@ K = 3
 BROADCAST_GRAMS = 50_000
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
+#: Grams that are always asked of a template (or all that ``coverage`` asks, if that is less).
+LEAST = 5
+
 #: The phrases that decide the base labels.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
@@ -38,6 +43,21 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
 }
 
+#: Short notices (versions left out) and bodies, by label; each is matched as a template of its own.
+NOTICES = {
+    "mit": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"],
+    "apache-2": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
+    "cc-by-nc": ["this work is licensed under the creative commons attribution noncommercial license"],
+    "cc-by": ["this work is licensed under the creative commons attribution license"],
+    "gpl": [
+        "this work is licensed under the gnu general public license",
+        "licensed under the terms of the gnu general public license",
+        "distributed under the terms of the gnu general public license",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ],
+    "bsd": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties"],
+}
+
 
 def words_of(lowered: Column) -> Column:
     """Splits once; only the first and the last part can be empty."""
@@ -53,15 +73,16 @@ def lowered(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\u212a")), ascii_lower(text)).otherwise(F.lower(text))
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
+def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     rows = []
-    for kind, table in (("phrase", phrases), ("template", templates)):
-        for label, text in table.items():
+    more = [(label, text) for label, texts in notices.items() for text in texts]
+    for kind, table in (("phrase", phrases.items()), ("template", [*templates.items(), *more])):
+        for number, (label, text) in enumerate(table):
             words = text.split(" ")
             if len(words) < k:
                 raise ValueError(f"{label}: fewer than {k} words")
-            rows += [(kind, label, i, len(words) - k + 1, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
-    df = spark.createDataFrame(rows, "kind string, label string, t_at int, t_grams int, t_gram string")
+            rows += [(kind, label, number, i, len(words) - k + 1, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
+    df = spark.createDataFrame(rows, "kind string, label string, number int, t_at int, t_grams int, t_gram string")
     return df.withColumn("t_hash", F.xxhash64("t_gram"))
 
 
@@ -79,7 +100,7 @@ def hits(docs: DataFrame, grams: DataFrame, k: int = K, broadcast: bool = True)
     df = df.select("doc_id", "__uid", "n_words", (F.col("__pos") - 1).alias("at"), "gram", F.xxhash64("gram").alias("hash"))
     same = (df["hash"] == grams["t_hash"]) & (df["gram"] == grams["t_gram"])
     joined = df.join(F.broadcast(grams) if broadcast else grams, same, "left")
-    return joined.where((F.col("at") < 0) | F.col("label").isNotNull()).select("doc_id", "__uid", "n_words", "at", "kind", "label", "t_at", "t_grams")
+    return joined.where((F.col("at") < 0) | F.col("label").isNotNull()).select("doc_id", "__uid", "n_words", "at", "kind", "label", "number", "t_at", "t_grams")
 
 
 def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: int = 3, coverage: float = 0.7) -> DataFrame:
@@ -92,17 +113,17 @@ def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: int
     own = ["doc_id", "__uid"]
     heads = F.sum(F.when(F.col("at") < 0, F.lit(1)))  # rows that this result stands for
     # Votes of a diagonal; rows that repeat bring the same hits again, which count once.
-    votes = found.groupBy(*own, "kind", "label", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
+    votes = found.groupBy(*own, "kind", "label", "number", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),
         heads.alias("copies"),
         F.max("t_grams").alias("t_grams"),
         F.array_sort(F.collect_set("t_at")).alias("t_ats"),
     )
-    w = Window.partitionBy(*own, "kind", "label").orderBy("diagonal")
+    w = Window.partitionBy(*own, "kind", "label", "number").orderBy("diagonal")
     votes = votes.withColumn("far", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > slack, F.lit(True)).cast("int"))
     votes = votes.withColumn("span", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     phrase, whole = F.col("kind") == "phrase", F.size("t_ats") == F.col("t_grams")
-    spans = votes.groupBy(*own, "kind", "label", "span").agg(
+    spans = votes.groupBy(*own, "kind", "label", "number", "span").agg(
         F.max("n_words").alias("n_words"),
         F.max("copies").alias("copies"),
         F.max("t_grams").alias("t_grams"),
@@ -112,7 +133,8 @@ def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: int
         F.max(F.col("diagonal") + F.element_at("t_ats", -1) + k).alias("end"),
     )
     share = F.size("covered") / F.col("t_grams")
-    verified = (F.col("kind") == "template") & (share >= coverage) & (F.col("end") - F.col("start") <= 2 * (F.col("t_grams") + k))
+    least = F.least(F.ceil(coverage * F.col("t_grams")), F.greatest(F.col("t_grams") - k, F.lit(LEAST)))
+    verified = (F.col("kind") == "template") & (F.size("covered") >= least) & (F.col("end") - F.col("start") <= 2 * (F.col("t_grams") + k))
     per = spans.groupBy(*own).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.max("copies").alias("copies"),
@@ -120,9 +142,19 @@ def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: int
         F.min(F.element_at(F.when(F.size("starts") > 0, F.col("starts")), 1)).cast("long").alias("first_word"),
         F.max(F.element_at(F.when(F.size("starts") > 0, F.col("starts")), -1)).cast("long").alias("last_word"),
         F.sort_array(F.collect_set(F.when(F.size("starts") > 0, F.col("label")))).alias("base"),
-        F.collect_set(F.when(verified, F.col("label"))).alias("more"),
-        F.max(F.when(F.size("starts") > 0, F.lit(1.0)).when(verified, share).otherwise(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(verified, F.struct("start", "end", "label")))).alias("spans"),
+        F.max(F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(0.0)).alias("whole"),
+        F.sort_array(F.collect_list(F.when(verified, F.struct("start", "end", "label", share.alias("share"))))).alias("all"),
+    )
+    shared = lambda x, y: F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+    half = lambda x, y: 2 * shared(x, y) >= F.least(x["end"] - x["start"], y["end"] - y["start"])
+    beaten = lambda x: F.exists("all", lambda y: (y["label"] != x["label"]) & (y["share"] > x["share"]) & half(x, y))
+    per = per.withColumn("all", F.filter("all", lambda x: ~beaten(x)))
+    per = per.withColumns(
+        {
+            "more": F.array_distinct(F.transform("all", lambda x: x["label"])),
+            "score": F.greatest("whole", F.coalesce(F.array_max(F.transform("all", lambda x: x["share"])), F.lit(0.0))),
+            "spans": F.array_distinct(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label")))),
+        }
     )
     return per.select(
         "doc_id",

@@ -2,7 +2,7 @@
 
 import random
 
-from loomline.llm import decontaminate, quality
+from loomline.llm import decontaminate, licenses, quality
 
 
 def letters(rng, n):
@@ -36,3 +36,22 @@ def test_quality_of_small_groups(spark):
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert len(got) == len(rows) and all(r["__distance"] is not None for r in got)
     assert all(r["__kept"] == ("%" not in r["text"]) for r in got)
+
+
+def test_short_notices(spark):
+    """Notices of a line get a label, also with a word changed, and the families' members are told apart."""
+    by, nc = licenses.TEMPLATES["cc-by"], licenses.TEMPLATES["cc-by-nc"]
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "This work is licensed under the GNU Genral Public License.": "gpl",
+        by: "cc-by",
+        nc: "cc-by-nc",
+        by.replace("4 0", "3 0"): "cc-by",
+        nc.replace("4 0", "3 0"): "cc-by-nc",
+        by.replace("creative", "creativ"): "cc-by",
+        "the GNU general public license is long": "",
+        "a work licensed under the terms of the seller": "",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[n] for n, t in rows} == texts
