@@ -53,7 +53,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), columns=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
