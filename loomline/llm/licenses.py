@@ -3,11 +3,13 @@
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Every rolling gram of
 ``k`` words of every text is joined to the grams of the templates (a Spark join on the gram's hash that also compares
 the gram itself, so a hash collision gives no hit). A hit votes for its diagonal, the text position minus the template
-position. A phrase stands where all its grams vote for one diagonal. For longer templates, diagonals less than
-``slack`` words apart are merged (insertions and deletions shift a diagonal), and a merged span counts if its hits
-cover ``coverage`` of the template's grams within a stretch not much longer than the template. A short template may miss
-the ``k`` grams of one edited word instead, as long as ``LEAST`` grams are left. Of spans that overlap by half, those of
-another label with the larger share stand (the notices of one family share most of their words).
+position. A phrase stands where all its grams vote for one diagonal. For longer templates, the diagonal with the most votes
+among those within ``slack`` of the template's length stands for them all (insertions and deletions shift a diagonal). Its
+span is verified gram by gram: of each gram the hit on the nearest diagonal counts, if it stands on the right side of all
+that the chosen diagonal holds; so repeated scraps of a template around a whole one neither add to it nor hide it. The span
+counts if its hits cover ``coverage`` of the template's grams. A short template may miss the ``k`` grams of one edited word
+instead, as long as ``LEAST`` grams are left. Of spans that overlap by half, those of another label with the larger share
+stand (the notices of one family share most of their words).
 
 The templates are a fixed table of a few hundred grams and are broadcast; a caller's larger table (over
 ``BROADCAST_GRAMS``) is joined by a shuffle. What is shuffled otherwise is a row per text and per hit.
@@ -103,47 +105,51 @@ def hits(docs: DataFrame, grams: DataFrame, k: int = K, broadcast: bool = True)
     return joined.where((F.col("at") < 0) | F.col("label").isNotNull()).select("doc_id", "__uid", "n_words", "at", "kind", "label", "number", "t_at", "t_grams")
 
 
-def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: int = 3, coverage: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, grams: DataFrame | None = None, k: int = K, slack: float = 0.5, coverage: float = 0.7) -> DataFrame:
     """A row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``."""
     spark = docs.sparkSession
     grams = template_grams(spark, k=k) if grams is None else grams
-    small = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    size = grams.agg(F.count("*"), F.max("t_grams")).first()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).withColumn("__uid", F.xxhash64("__text"))
-    found = hits(rows, grams, k, small).repartition("doc_id", "__uid")
+    found = hits(rows, grams, k, size[0] <= BROADCAST_GRAMS).repartition("doc_id", "__uid")
     own = ["doc_id", "__uid"]
+    template = [*own, "kind", "label", "number"]
     heads = F.sum(F.when(F.col("at") < 0, F.lit(1)))  # rows that this result stands for
     # Votes of a diagonal; rows that repeat bring the same hits again, which count once.
-    votes = found.groupBy(*own, "kind", "label", "number", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
+    votes = found.groupBy(*template, (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),
         heads.alias("copies"),
         F.max("t_grams").alias("t_grams"),
         F.array_sort(F.collect_set("t_at")).alias("t_ats"),
     )
-    w = Window.partitionBy(*own, "kind", "label", "number").orderBy("diagonal")
-    votes = votes.withColumn("far", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > slack, F.lit(True)).cast("int"))
-    votes = votes.withColumn("span", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    phrase, whole = F.col("kind") == "phrase", F.size("t_ats") == F.col("t_grams")
-    spans = votes.groupBy(*own, "kind", "label", "number", "span").agg(
-        F.max("n_words").alias("n_words"),
-        F.max("copies").alias("copies"),
-        F.max("t_grams").alias("t_grams"),
-        F.sort_array(F.collect_list(F.when(phrase & whole, F.col("diagonal")))).alias("starts"),
-        F.array_distinct(F.flatten(F.collect_list("t_ats"))).alias("covered"),
-        F.min(F.col("diagonal") + F.element_at("t_ats", 1)).alias("start"),
-        F.max(F.col("diagonal") + F.element_at("t_ats", -1) + k).alias("end"),
-    )
-    share = F.size("covered") / F.col("t_grams")
+    reach = lambda t_grams: F.ceil(F.lit(slack) * t_grams)
+    near = Window.partitionBy(*template).orderBy("diagonal").rangeBetween(-int(slack * (size[1] or 0) + 1), int(slack * (size[1] or 0) + 1))
+    around = F.collect_list(F.when(F.col("kind") == "template", F.struct("diagonal", "t_ats"))).over(near)
+    votes = votes.withColumn("around", F.filter(around, lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= reach(F.col("t_grams"))))
+    # Of neighbouring diagonals the one with the most votes (of ties, the first) stands for all.
+    rank = lambda t_ats, diagonal: F.struct(F.size(t_ats).alias("votes"), (-diagonal).alias("place"))
+    first = F.forall("around", lambda x: rank(x["t_ats"], x["diagonal"]) <= rank(F.col("t_ats"), F.col("diagonal")))
     least = F.least(F.ceil(coverage * F.col("t_grams")), F.greatest(F.col("t_grams") - k, F.lit(LEAST)))
-    verified = (F.col("kind") == "template") & (F.size("covered") >= least) & (F.col("end") - F.col("start") <= 2 * (F.col("t_grams") + k))
-    per = spans.groupBy(*own).agg(
+    enough = (F.col("kind") == "template") & first & (F.size(F.array_distinct(F.flatten(F.transform("around", lambda x: x["t_ats"])))) >= least)
+    # For each gram of the template, its hit on the nearest diagonal, if the words before and after it on the chosen one are so here.
+    hit = F.flatten(F.transform("around", lambda x: F.transform(x["t_ats"], lambda t: F.struct(t.alias("t"), F.abs(x["diagonal"] - F.col("diagonal")).alias("off"), x["diagonal"].alias("d")))))
+    votes = votes.withColumn("hit", F.when(enough, F.array_sort(hit)))
+    votes = votes.withColumn("hit", F.filter("hit", lambda e, i: (i == 0) | (F.get("hit", i - 1)["t"] != e["t"])))
+    in_order = lambda e, u: F.when(u > e["t"], e["d"] - F.col("diagonal") < u - e["t"]).when(u < e["t"], F.col("diagonal") - e["d"] < e["t"] - u).otherwise(F.lit(True))
+    votes = votes.withColumn("hit", F.filter("hit", lambda e: F.forall("t_ats", lambda u: in_order(e, u))))
+    share = F.size("hit") / F.col("t_grams")
+    places = F.transform("hit", lambda e: e["d"] + e["t"])
+    span = F.when(F.size("hit") >= least, F.struct(F.array_min(places).alias("start"), (F.array_max(places) + k).alias("end"), "label", share.alias("share")))
+    base = (F.col("kind") == "phrase") & (F.size("t_ats") == F.col("t_grams"))
+    per = votes.withColumn("span", span).groupBy(*own).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.max("copies").alias("copies"),
-        F.sum(F.size("starts")).cast("long").alias("n_base"),
-        F.min(F.element_at(F.when(F.size("starts") > 0, F.col("starts")), 1)).cast("long").alias("first_word"),
-        F.max(F.element_at(F.when(F.size("starts") > 0, F.col("starts")), -1)).cast("long").alias("last_word"),
-        F.sort_array(F.collect_set(F.when(F.size("starts") > 0, F.col("label")))).alias("base"),
-        F.max(F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(0.0)).alias("whole"),
-        F.sort_array(F.collect_list(F.when(verified, F.struct("start", "end", "label", share.alias("share"))))).alias("all"),
+        F.sum(F.when(base, F.lit(1)).otherwise(0)).cast("long").alias("n_base"),
+        F.min(F.when(base, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(base, F.col("diagonal"))).cast("long").alias("last_word"),
+        F.sort_array(F.collect_set(F.when(base, F.col("label")))).alias("base"),
+        F.max(F.when(base, F.lit(1.0)).otherwise(0.0)).alias("whole"),
+        F.sort_array(F.collect_list("span")).alias("all"),
     )
     shared = lambda x, y: F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
     half = lambda x, y: 2 * shared(x, y) >= F.least(x["end"] - x["start"], y["end"] - y["start"])

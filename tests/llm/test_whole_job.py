@@ -55,3 +55,43 @@ def test_short_notices(spark):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {t: got[n] for n, t in rows} == texts
+
+
+def slow_labels(text):
+    """Labels of templates by the best window: for every place, the grams of the template within one and a half of its length."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    own, found = grams(words), {}
+    more = [(label, t) for label, ts in licenses.NOTICES.items() for t in ts]
+    for label, template in [*licenses.TEMPLATES.items(), *more]:
+        want = grams(template.split())
+        need = min(-(-7 * len(want) // 10), max(len(want) - 3, licenses.LEAST))
+        best = max((len(set(own[i : i + len(want) + len(want) // 2]) & set(want)) for i in range(len(own))), default=0)
+        if best >= need:
+            found[label] = max(found.get(label, 0), best / len(want))
+    return found
+
+
+def test_licenses_among_scraps(spark):
+    """Scraps of a template before or after a whole one don't hide it, nor do insertions; scattered scraps alone are none."""
+    mit, bsd = licenses.TEMPLATES["mit"], licenses.TEMPLATES["bsd"]
+    half = mit.split()
+    texts = {
+        "permission is hereby " * 20 + mit: "mit",
+        mit + " associated documentation files" * 20: "mit",
+        "permission is hereby " * 20 + mit + " associated documentation files" * 20: "mit",
+        " ".join(half[:10] + ["four", "words", "more", "here"] + half[10:]): "mit",
+        " ".join(half[:10] + half[13:]): "mit",
+        (bsd + " and ") * 3 + mit: "bsd,mit",
+        "permission is hereby " * 60: "",
+        " ".join(half[12:] + half[:12]): "",
+        " ".join(" ".join(half[i : i + 3]) + " other words between them all" for i in range(0, 20, 3)): "",
+        ("filler " * 50 + mit + " ") * 40: "mit",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[n].labels for n, t in rows} == texts
+    for n, t in rows:
+        if n != 7:  # a template with its halves exchanged: the window has all its grams, but not in order
+            assert sorted(slow_labels(t)) == [x for x in texts[t].split(",") if x]
+    assert len(got[9].spans) == 40
