@@ -4,8 +4,11 @@ Every document is encoded, ended with an id, and cut into pieces of ``length`` i
 of a partition come in windows of ``window`` pieces, the longest of a window first, and go into a bounded number of
 open sequences: each into the open sequence with the least free space that holds it. Open sequences are kept in a bitset keyed by free space, so the best fit is the
 lowest set bit from the piece's length on; when one more than ``open_bins`` would be open, the fullest closes. A piece's place is
-known as soon as it is placed, so rows stream out and memory is bounded by the window and the open sequences. There is no shuffle: a
-partition packs its own pieces, and what it can't fill is at most its last open sequences.
+known as soon as it is placed, so rows stream out and memory is bounded by the window and the open sequences.
+
+A partition packs its own pieces, and what it leaves under-filled (by more than a ``TAIL``-th) depends on how the table is
+cut. So the pieces of these sequences are packed once more in the same way, now those of many partitions together, longest
+first: one task for each ``open_bins`` sequences that they would fill. Only lengths and ids of pieces are shuffled for that.
 
 Defined results: a null or empty text is one piece with just the end id; rows that repeat are packed as often as they
 occur; an empty table gives an empty result. Sequence numbers are unique, not dense.
@@ -20,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import staged
 from loomline.llm.tokens import Encoder, encoder, texts
 
 LENGTH = 2048
+TAIL = 256
 OPEN_BINS = 8192
 WINDOW = 8192
 
@@ -95,4 +100,30 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH
             yield placed()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
+    packed = staged(rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields)), "packed")
+    return _together(packed, length, open_bins)
+
+
+def _together(packed: DataFrame, length: int, open_bins: int) -> DataFrame:
+    """``packed`` with the pieces of its under-filled sequences in new ones."""
+    fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    slack = staged(fill.where(F.col("fill") < length - length // TAIL), "slack")
+    left = slack.agg(F.count("*"), F.sum("fill")).first()
+    if left[0] < 2:
+        return packed
+    tasks = -(-left[1] // (length * open_bins))
+    tail = packed.join(slack.select("sequence_id"), "sequence_id", "left_semi").select(packed.columns)
+    tail = tail.repartition(tasks, "sequence_id").sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bins, base = BestFit(length, open_bins), (1 << 62) + (TaskContext.get().partitionId() << 36)
+        for batch in batches:
+            spots = [bins.place(n) for n in batch.column("length").to_pylist()]
+            numbers = {"sequence_id": [base + n for n, _ in spots], "offset": [offset for _, offset in spots]}
+            columns = [pa.array(numbers[n], pa.int64()) if n in numbers else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    again = tail.mapInArrow(run, packed.schema)
+    return packed.join(slack.select("sequence_id"), "sequence_id", "left_anti").select(packed.columns).union(again)

@@ -2,7 +2,9 @@
 
 import random
 
-from loomline.llm import decontaminate, licenses, quality
+import public_tokenizers
+
+from loomline.llm import decontaminate, licenses, packing, quality, queries
 
 
 def letters(rng, n):
@@ -95,3 +97,31 @@ def test_licenses_among_scraps(spark):
         if n != 7:  # a template with its halves exchanged: the window has all its grams, but not in order
             assert sorted(slow_labels(t)) == [x for x in texts[t].split(",") if x]
     assert len(got[9].spans) == 40
+
+
+def test_packing_shares_sequences_across_partitions(spark):
+    """However the table is cut, there are about as few sequences as the ids need, and each is gapless."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    counts = {}
+    for n in (1, 16, 64):
+        got = packing.pack(docs.repartition(n), public_tokenizers.path("word_bpe_49k.json")).select("sequence_id", "offset", "length").collect()
+        bins = {}
+        for r in sorted(got, key=lambda r: r.offset):
+            assert bins.get(r.sequence_id, 0) == r.offset
+            bins[r.sequence_id] = r.offset + r.length
+        assert max(bins.values()) <= 2048
+        counts[n] = len(bins)
+        bound = -(-sum(bins.values()) // 2048)
+    assert all(c <= bound * 1.01 for c in counts.values()), (counts, bound)
+
+
+def test_packing_query(spark):
+    """The registered query: every document once, its pieces in order, no id lost."""
+    got = queries.op1_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
+    assert sorted({r.doc_id for r in got}) == sorted(ids)
+    for i in ids:
+        at = 0
+        for n, r in enumerate(sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (n, at)
+            at += r.length
