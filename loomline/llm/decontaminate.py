@@ -10,7 +10,7 @@ diagonals, so that some band holds them all; bands with t votes are retained and
 fall under q, e is lowered; items shorter than q characters can't be found.
 
 The benchmark's q-grams are one sorted array that every task gets; a benchmark over ``BLOCK_CHARS`` is searched in blocks
-of that size. There is no shuffle before the hits.
+of that size, and what several blocks find in one row is put together by a shuffle of the rows found. There is no other.
 
 Defined results: null and empty texts hold nothing, null and empty items are found nowhere; repeated rows give repeated
 results; an empty table of either kind gives an empty result.
@@ -27,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import staged
+
 Q = 8
-BLOCK_CHARS = 1_300_000  # each is in about twelve windows
+BLOCK_CHARS = 400_000  # each is in about twelve windows
+PORTION = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -76,33 +79,44 @@ def edits_allowed(m: int, percent: int) -> int:
     return max(0, min(m * percent // 100, (m + 1 - Q) // Q - 1))
 
 
-def align(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+def align(pattern: np.ndarray, text: np.ndarray, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int] | None:
     """The least number of edits, at most ``most``, from ``pattern`` to a stretch of ``text``, and that stretch (start, end).
-    The free start is anywhere, so the band is the whole of ``text``, which is one diagonal band's stretch."""
-    n = len(text)
-    steps = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), steps.copy()
+    Paths stay on the diagonals (text position minus pattern position) from ``low`` to ``high``; unbounded, all are open."""
+    n, m = len(text), len(pattern)
+    low, high = -m if low is None else low, n if high is None else high
+    far = 1 << 30
+    diagonals = np.arange(low, high + 1)
+    width = len(diagonals)
+    padded = np.full(m + width, -1, np.int64)  # padded[i + d - low] is text[i + d]
+    lo = max(low, 0)
+    hi = max(lo, min(n, m + high))
+    padded[lo - low : hi - low] = text[lo:hi]
+    inside = (diagonals >= 0) & (diagonals <= n)
+    cost, start = np.where(inside, 0, far), diagonals.copy()
+    steps = np.arange(width)
     for i, c in enumerate(pattern):
-        diagonal = np.concatenate(([i + 1], cost[:-1] + (text != c)))
-        origin = np.concatenate(([0], start[:-1]))
-        up = cost + 1
-        better = up < diagonal
-        best, origin = np.where(better, up, diagonal), np.where(better, start, origin)
-        # Insertions run along the row: the least of best[j] - j so far, plus j.
-        key = (best - steps) * (n + 2) + (n + 1 - steps)  # the nearest of ties
+        across = cost + (padded[i : i + width] != c)
+        across[(diagonals + i < 0) | (diagonals + i >= n)] = far
+        down = np.append(cost[1:] + 1, far)  # the pattern's character is left out
+        better = down < across
+        best, origin = np.where(better, down, across), np.where(better, np.append(start[1:], 0), start)
+        best[diagonals + i + 1 < 0] = far
+        # Insertions run along the row: the least of best[d] - d so far, plus d.
+        key = (best - steps) * (width + 1) + (width - steps)  # the nearest of ties
         run = np.minimum.accumulate(key)
-        source = n + 1 - (run % (n + 2))
-        cost, start = run // (n + 2) + steps, origin[source]
+        source = width - (run % (width + 1))
+        cost, start = np.minimum(run // (width + 1) + steps, far), origin[source]
+        cost[diagonals + i + 1 > n] = far
         if cost.min() > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= most else None
+    at = int(cost.argmin())
+    return (int(cost[at]), int(start[at]), int(diagonals[at]) + m) if cost[at] <= most else None
 
 
-def verify(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """The alignment; where the pattern occurs as it is, that needs no table."""
+def verify(pattern: np.ndarray, text: np.ndarray, most: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """The alignment on the diagonals from ``low`` to ``high``; where the pattern occurs as it is, that needs no table."""
     at = text.astype("<u4").tobytes().find(pattern.astype("<u4").tobytes())
-    return (0, at // 4, at // 4 + len(pattern)) if at >= 0 and at % 4 == 0 else align(pattern, text, most)
+    return (0, at // 4, at // 4 + len(pattern)) if at >= 0 and at % 4 == 0 else align(pattern, text, most, low, high)
 
 
 class Index:
@@ -137,10 +151,40 @@ class Index:
         self.edits = np.array([w[2] for w in self.windows])
         self.least = np.array([w[3] for w in self.windows])
         self.fewest = max(1, int(self.least.min()))
+        self.longest = max(len(w[1]) for w in self.windows)
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)
 
+    def _bands(self, maybe: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Numbers of window and band for bands with enough votes. Postings come in portions of about ``PORTION``, and bands that
+        the text has passed are settled after each, so a frequent gram in a long text takes time but not memory."""
+        total = np.cumsum(self.count[slot])
+        cuts = np.unique(np.concatenate((np.searchsorted(total, np.arange(PORTION, total[-1], PORTION)) + 1, [len(maybe)])))
+        out, keys, votes, lo = [], np.empty(0, np.int64), np.empty(0, np.int64), 0
+        for hi in cuts.tolist():
+            part, own = maybe[lo:hi], slot[lo:hi]
+            reps = self.count[own]
+            position = np.repeat(part, reps)
+            posting = np.repeat(self.first[own], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            owner, diagonal = self.owner[posting], position - self.place[posting]
+            k, e = self.steps[owner], self.edits[owner]
+            band = diagonal >> k
+            second = diagonal - (band << k) < e  # also in the band before
+            owner, band = np.concatenate([owner, owner[second]]), np.concatenate([band, band[second] - 1])
+            new, n = np.unique((owner << 32) + (band + (1 << 31)), return_counts=True)  # a number for each window and band
+            if len(keys):
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                votes = np.bincount(at, np.concatenate([votes, n])).astype(np.int64)
+            else:
+                keys, votes = new, n
+            window = keys >> 32
+            passed = (((keys & 0xFFFFFFFF) - (1 << 31) + 1) << self.steps[window]) + self.edits[window] + self.longest < maybe[hi - 1]
+            passed |= hi == len(maybe)
+            out.append(keys[passed & (votes >= self.least[window])])
+            keys, votes, lo = keys[~passed], votes[~passed], hi
+        return np.sort(np.concatenate(out))
+
     def search(self, text: str) -> list[tuple[object, int, int, int]]:
         """``(item, start, end, edits)``, code points of ``text``: for each item and stretch the verified windows, merged."""
         if self.empty or len(text) < Q:
@@ -156,26 +200,20 @@ class Index:
         maybe, slot = maybe[real], slot[real]
         if len(maybe) < self.fewest:
             return []
-        reps = self.count[slot]
-        position = np.repeat(maybe, reps)
-        posting = np.repeat(self.first[slot], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        owner, diagonal = self.owner[posting], position - self.place[posting]
-        k, e = self.steps[owner], self.edits[owner]
-        band = diagonal >> k
-        second = diagonal - (band << k) < e  # also in the band before
-        owner, band = np.concatenate([owner, owner[second]]), np.concatenate([band, band[second] - 1])
-        both, votes = np.unique((owner << 32) + (band + (1 << 31)), return_counts=True)  # a number for each window and band
-        enough = both[votes >= self.least[both >> 32]]
+        enough = self._bands(maybe, slot)
         found = []
         known: dict[object, list[tuple[int, int, int, int]]] = {}  # of an item: the parts found, in the item and in the text
         for w, b in zip((enough >> 32).tolist(), ((enough & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
             item, pattern, most, _, step, place = self.windows[w]
             # The band is of diagonals within the window, so of text positions of its start.
             lo = max(b << step, 0)
-            hi = min(((b + 1) << step) + 2 * most + len(pattern), len(chars))
+            high = ((b + 1) << step) + most - lo  # an occurrence's diagonals are all in the band, or in one of its neighbours
+            if high < 0:
+                continue  # it would begin before the text
+            hi = min(lo + high + len(pattern), len(chars))
             if any(x <= place and place + len(pattern) <= y and u <= (lo + hi) // 2 < v for x, y, u, v in known.get(item, ())):
                 continue
-            if hit := verify(pattern, chars[lo:hi], most):
+            if hit := verify(pattern, chars[lo:hi], most, (b << step) - lo, high):
                 edits, start, end = hit
                 known.setdefault(item, []).append((place, place + len(pattern), lo + start, lo + end))
                 found.append((item, int(at[lo + start]), int(at[lo + end - 1]) + 1, edits))
@@ -188,26 +226,36 @@ class Index:
         return [tuple(x) for x in sorted(merged, key=lambda x: (x[1], x[2], str(x[0])))]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[object, str]]]:
-    """The items, in blocks of bounded size; each block is read on its own."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about ``BLOCK_CHARS`` characters (an item is never cut); each comes to the driver on its own."""
     items = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in (items if n == 1 else items.where(part == i)).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in (items if n == 1 else items.where(part == i)).collect()]
 
 
 _indexes: dict[int, Index] = {}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """``docs`` that hold benchmark passages, with ``__items`` (array of ``item_id, start, end, edits``)."""
+    """The rows of ``docs`` that hold benchmark passages, each once, with ``__items`` (array of ``item_id, start, end, edits``)."""
     key = benchmark.schema["item_id"].dataType.simpleString()
+    found = [_search(docs, block, budget, key) for block in _blocks(benchmark)]
+    if len(found) == 1:
+        return found[0]
+    # A row found in several blocks is put together again; equal rows are found in the same blocks, as often as they occur.
     out = None
-    for block in _blocks(benchmark):
-        found = _search(docs, block, budget, key)
-        out = found if out is None else out.unionByName(found)
-    return out
+    for n, part in enumerate(found):
+        part = staged(part.withColumn("__block", F.lit(n)), "found")
+        out = part if out is None else out.unionByName(part)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.select(F.sha2(F.to_json(row), 256).alias("__key"), row.alias("__row"), "__items", "__block")
+    per = out.groupBy("__key").agg(F.first("__row").alias("__row"), F.collect_set(F.struct("__block", "__items")).alias("__parts"), F.count("*").alias("__n"))
+    items = F.flatten(F.transform(F.array_sort("__parts"), lambda x: x["__items"]))
+    copies = F.explode(F.sequence(F.lit(1), (F.col("__n") / F.size("__parts")).cast("int")))
+    return per.select("__row", items.alias("__items"), copies.alias("__copy")).select("__row.*", "__items")
 
 
 def _search(docs: DataFrame, block: list[tuple[object, str]], budget: Budget, key: str) -> DataFrame:
@@ -234,9 +282,10 @@ def _search(docs: DataFrame, block: list[tuple[object, str]], budget: Budget, ke
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage, in one pass for each block of the benchmark."""
-    for block in _blocks(benchmark):
-        docs = _drop(docs, block, budget)
+    """``docs`` without those that hold a benchmark passage, in one pass for each block of the benchmark. What a pass leaves is
+    staged for the next, so a task holds one block's index at a time."""
+    for n, block in enumerate(_blocks(benchmark)):
+        docs = _drop(staged(docs, "clean") if n else docs, block, budget)
     return docs
 
 

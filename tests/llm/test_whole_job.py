@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import public_tokenizers
 
 from loomline.llm import decontaminate, licenses, packing, quality, queries
@@ -125,3 +127,74 @@ def test_packing_query(spark):
         for n, r in enumerate(sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)):
             assert (r.piece, r.start) == (n, at)
             at += r.length
+
+
+def test_blocks_of_the_benchmark_give_one_row(spark, monkeypatch):
+    """However many blocks the benchmark is searched in, a row comes once with all its items, and repeated rows stay repeated."""
+    rng = random.Random(21)
+    items = [(i, letters(rng, 20)) for i in range(12)]
+    texts = [f"{items[0][1]} {letters(rng, 5)} {items[5][1]} and {items[9][1]}", items[3][1], items[3][1], letters(rng, 50), None]
+    docs = spark.createDataFrame([(n, t, None, "x") for n, t in enumerate(texts)] + [(1, texts[1], None, "x")], "doc_id long, text string, note string, __parts string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    said = lambda: sorted((r.doc_id, sorted(tuple(x) for x in r["__items"])) for r in decontaminate.contamination(docs, bench).collect())
+    want = said()
+    assert [k for k, _ in want] == [0, 1, 1, 2] and [x[0] for x in want[0][1]] == [0, 5, 9]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert said() == want
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
+
+
+def test_banded_alignment():
+    """With diagonals bounded, the least edits of a path that stays on them: that of the full table with all others closed."""
+
+    def slow(p, t, low, high):
+        far = 99
+        d = [[far] * (len(t) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p) + 1):
+            for j in range(len(t) + 1):
+                if low <= j - i <= high:
+                    d[i][j] = 0 if i == 0 else min(d[i - 1][j - 1] + (p[i - 1] != t[j - 1]) if j else far, d[i - 1][j] + 1, d[i][j - 1] + 1 if j else far)
+        return min(d[-1])
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        p, t = (rng.integers(0, 3, rng.integers(1, 12)) for _ in range(2))
+        low = int(rng.integers(-4, 3))
+        high = low + int(rng.integers(0, 6))
+        best, got = slow(p.tolist(), t.tolist(), low, high), decontaminate.align(p, t, 20, low, high)
+        assert (got is None and best > 20) or got[0] == best
+
+
+def slow_search(index_items, text, budget):
+    """Items of which some window has an occurrence with few enough edits, by the full table at every place."""
+    chars = decontaminate.normalized(text)[0].astype(int)
+    found = set()
+    for item, item_text in index_items:
+        own = decontaminate.normalized(item_text)[0].astype(int)
+        m = len(own)
+        for n, by in ((budget.window, budget.window // 2), (budget.part, budget.stride)):
+            for lo in {*range(0, m - n, by), max(0, m - n)}:
+                part = own[lo : lo + n]
+                if len(part) >= decontaminate.Q and decontaminate.align(part, chars, decontaminate.edits_allowed(len(part), budget.edit_percent)) is not None:
+                    found.add(item)
+    return found
+
+
+def test_search_equals_alignment_everywhere(monkeypatch):
+    """The lemma loses nothing: random edits of pieces of items, and a frequent gram in a long text, in portions of any size."""
+    rng = random.Random(31)
+    items = [(i, letters(rng, 14)) for i in range(4)] + [(9, "ab" * 60)]
+    budget = decontaminate.Budget()
+    index = decontaminate.Index(items, budget)
+    for n in range(25):
+        piece = list(rng.choice(items)[1][: rng.randint(50, 90)])
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(piece))
+            piece[at : at + 1] = rng.choice([[], ["q"], [piece[at], "r"]])
+        text = f"{letters(rng, 8)} {''.join(piece)} {letters(rng, 8)}"
+        want = slow_search(items, text, budget)
+        for portion in (2_000_000, 50):
+            monkeypatch.setattr(decontaminate, "PORTION", portion)
+            assert {x[0] for x in index.search(text)} == want, text
+    monkeypatch.setattr(decontaminate, "PORTION", 10_000)
+    assert {x[0] for x in index.search("ab" * 20_000 + " " + items[2][1])} == {2, 9}
