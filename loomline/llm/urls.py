@@ -3,13 +3,14 @@
 A URL is expanded into one expression per rule shape: the host's last ``n`` labels, for each label count that rules
 have, followed by the path's first ``m`` characters, for each path length that rules have. That is every expression
 that can equal a rule. Each is joined to the rules on four bytes of its SHA-256 digest; the rules that share those
-bytes are one bucket, so a URL never multiplies. The full digest then decides, and of the rules that fit the longest
-wins (then the longer host, then ``block``). Shapes, not rules, bound the number of joins; they are read off the rule
-table with one aggregate and refused above ``MAX_SHAPES``. The buckets are broadcast while the rules are few enough
-(``BROADCAST_RULES``); beyond, the same join shuffles and the optimizer splits hot hash prefixes.
+bytes are one bucket. The full digest then decides, and of the rules that fit the longest wins (then the longer host, then
+``block``). There is one join for any number of shapes, which are read off the rule table with one aggregate. Each pair of
+host and path is expanded once, however many URLs have it. The buckets are broadcast while the rules' text is small
+(``BROADCAST_CHARS``); beyond, the same join shuffles and the optimizer splits hot hash prefixes.
 
 Defined results: null URLs and those without ``://`` have an empty host and path and fit no rule; an empty rule table
-fits nothing; repeated rows stay repeated.
+fits nothing; repeated rows stay repeated; columns of the pages named ``host``, ``path``, ``rule`` or ``verdict`` give way to
+the results'.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 from loomline.llm.common import ascii_lower
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-MAX_SHAPES = 64
-BROADCAST_RULES = 100_000  # of at most 2 kB each, as URLs are
+BROADCAST_CHARS = 8_000_000
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -43,51 +43,39 @@ def _digest(expression: Column) -> Column:
     return F.sha2(expression, 256)
 
 
-def _confirmed(bucket: Column, digest: Column) -> Column:
-    return F.filter(bucket, lambda r: r["digest"] == digest)
-
-
 def match(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``."""
     rules = rules.select(
         F.lower("verdict").alias("verdict"), ascii_lower(F.col("host")).alias("host"), F.col("path").alias("path")
     ).where("host is not null and path is not null")
     bounds = rules.agg(
-        F.collect_set(F.size(F.split("host", "\\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.count("*").alias("n")
+        F.collect_set(F.size(F.split("host", "\\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.sum(F.length("host") + F.length("path")).alias("chars")
     ).first()
     labels, lengths = sorted(bounds["labels"]), sorted(bounds["lengths"])
-    if len(labels) * len(lengths) > MAX_SHAPES:
-        raise ValueError(f"the rules have {len(labels)} label counts and {len(lengths)} path lengths, over {MAX_SHAPES} shapes")
-    key = F.concat("host", F.lit("\x00"), "path")
-    buckets = (
-        rules.withColumn("digest", _digest(key))
-        .groupBy(F.substring("digest", 1, 8).alias("__prefix"))
-        .agg(F.collect_list(F.struct("digest", "host", "path", "verdict")).alias("__rules"))
-    )
-    if bounds["n"] <= BROADCAST_RULES:
-        buckets = F.broadcast(buckets)
     df = with_parts(pages, url)
-    found = []
-    for n in labels:
-        for m in lengths:
-            k = len(found)
-            suffix = F.substring_index("host", ".", -n)
-            whole = F.size(F.split("host", "\\.")) >= n
-            fits = whole & (F.length("host") > 0) & (F.length("path") >= m)
-            expression = F.when(fits, F.concat(suffix, F.lit("\x00"), F.substring("path", 1, m)))
-            df = df.withColumn(f"__d{k}", _digest(expression)).withColumn(f"__p{k}", F.substring(f"__d{k}", 1, 8))
-            df = df.join(buckets.select(F.col("__prefix").alias(f"__p{k}"), F.col("__rules").alias(f"__r{k}")), f"__p{k}", "left")
-            found.append(_confirmed(F.col(f"__r{k}"), F.col(f"__d{k}")))
-    if not found:
-        return df.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    ranked = F.transform(
-        F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<struct<digest:string,host:string,path:string,verdict:string>>")) for x in found])),
-        lambda r: F.struct(
-            F.length(F.concat(r["host"], r["path"])).alias("length"), F.length(r["host"]).alias("host_length"), r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule")
-        ),
-    )
-    df = df.withColumn("__best", F.array_max(ranked))
-    return df.select(
+    if not labels:
+        found = df.withColumn("__best", F.lit(None).cast("struct<length:int,host_length:int,verdict:string,rule:string>"))
+    else:
+        buckets = (
+            rules.withColumn("digest", _digest(F.concat("host", F.lit("\x00"), "path")))
+            .groupBy(F.substring("digest", 1, 8).alias("__prefix"))
+            .agg(F.collect_list(F.struct("digest", "host", "path", "verdict")).alias("__rules"))
+        )
+        keys = df.where(F.length("host") > 0).select(F.col("host").alias("__host"), F.col("path").alias("__path")).distinct()
+        n_labels, n_path = F.size(F.split("__host", "\\.")), F.length("__path")
+        parts = F.split("__host", "\\.")
+        suffixes = F.transform(F.filter(F.array(*[F.lit(n) for n in labels]), lambda n: n <= n_labels), lambda n: F.array_join(F.slice(parts, n_labels - n + 1, n), "."))
+        prefixes = F.transform(F.filter(F.array(*[F.lit(m) for m in lengths]), lambda m: m <= n_path), lambda m: F.substring(F.col("__path"), F.lit(1), m))
+        expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\x00"), p))))
+        keys = keys.select("__host", "__path", F.explode(expressions).alias("__expression")).withColumn("__digest", _digest(F.col("__expression")))
+        hits = keys.join(F.broadcast(buckets) if bounds["chars"] <= BROADCAST_CHARS else buckets, F.substring("__digest", 1, 8) == F.col("__prefix"))
+        fits = F.transform(
+            F.filter("__rules", lambda r: r["digest"] == F.col("__digest")),
+            lambda r: F.struct(F.length(F.concat(r["host"], r["path"])).alias("length"), F.length(r["host"]).alias("host_length"), r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule")),
+        )
+        best = hits.groupBy("__host", "__path").agg(F.max(F.array_max(fits)).alias("__best")).where("__best is not null")
+        found = df.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    return found.select(
         *[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
         "host",
         "path",

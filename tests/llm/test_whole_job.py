@@ -6,7 +6,7 @@ import numpy as np
 
 import public_tokenizers
 
-from loomline.llm import decontaminate, licenses, packing, quality, queries
+from loomline.llm import decontaminate, licenses, packing, quality, queries, urls
 
 
 def letters(rng, n):
@@ -198,3 +198,28 @@ def test_search_equals_alignment_everywhere(monkeypatch):
             assert {x[0] for x in index.search(text)} == want, text
     monkeypatch.setattr(decontaminate, "PORTION", 10_000)
     assert {x[0] for x in index.search("ab" * 20_000 + " " + items[2][1])} == {2, 9}
+
+
+def test_many_rules(spark, monkeypatch):
+    """Rules of many label counts and path lengths, by broadcast and by shuffle, against a scan of all rules."""
+    rng = random.Random(41)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 2)))
+    host = lambda: ".".join(name() for _ in range(rng.randint(1, 9)))
+    path = lambda: "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 30)))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((host(), path()[: rng.choice([1, 2, 3, 40])]) for _ in range(600))}.values())
+    assert len({h.count(".") for _, h, _ in rules}) * len({len(p) for _, _, p in rules}) > 64
+    pages = [(i, f"http://{host()}{path()}", "y") for i in range(400)] + [(900, "http://a.b/x", None)] * 3 + [(901, None, "z"), (902, "a.b", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, rule string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+
+    def slow(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        h, _, p = rest.partition("/")
+        p = "/" + p if "/" in rest else ""
+        fit = [(len(x + y), len(x), v, x + y) for v, x, y in rules if h and (h == x or h.endswith("." + x)) and p.startswith(y)]
+        return max(fit)[2:] if fit else ("allow", None)
+
+    for chars in (urls.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(urls, "BROADCAST_CHARS", chars)
+        got = urls.match(df, table).collect()
+        assert len(got) == len(pages) and all((r.verdict, r.rule) == slow(r.url) for r in got)
