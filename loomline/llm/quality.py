@@ -149,10 +149,17 @@ def _factor(share: Column) -> Column:
     return F.get(table, at) + (share * 100 - at) * (F.get(table, at + 1) - F.get(table, at))
 
 
+def _summed(rows: DataFrame, by: list[str], sums: list[Column]) -> DataFrame:
+    """Sums by a struct of ``by``: partial sums are dealt out by the whole of it. By its columns they would be dealt out by the
+    group alone, as the windows that follow want it, and a group's from all tasks would meet in one."""
+    out = rows.groupBy(F.struct(*by).alias("cell")).agg(*sums)
+    return out.select("cell.*", *out.columns[1:])
+
+
 def _start(fit: DataFrame) -> DataFrame:
     """``n``, medians ``m`` and squared quartile ranges ``c`` per group, on a grid of 1/64."""
     long = fit.select(*KEY, F.posexplode(F.array(*[F.floor(F.col(f"__z{i}") * 64) for i in range(D)])).alias("i", "bucket"))
-    counts = long.groupBy(*KEY, "i", "bucket").agg(F.count("*").alias("n"))
+    counts = _summed(long, [*KEY, "i", "bucket"], [F.count("*").alias("n")])
     w = Window.partitionBy(*KEY, "i")
     cum = counts.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "all": F.sum("n").over(w)})
 
@@ -226,7 +233,7 @@ def _concentrate(fit: DataFrame, params: DataFrame, support: float) -> DataFrame
     own = [*KEY, "start"]
     factors = params.select(*own, *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
     near = fit.join(factors, KEY).withColumn("bucket", F.floor(F.log(_distance() + 0.01) * 16))
-    sums = near.groupBy(*own, "bucket").agg(F.count("*").alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(D)], *[F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i, j in PAIRS])
+    sums = _summed(near, [*own, "bucket"], [F.count("*").alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(D)], *[F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i, j in PAIRS]])
     w = Window.partitionBy(*own)
     inner = sums.withColumns({"below": F.sum("n").over(w.orderBy("bucket")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("below") < support * F.col("all"))
     total = inner.groupBy(*own).agg(F.max("all").alias("all"), *[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(D)], *[f"p{i}{j}" for i, j in PAIRS])])
