@@ -35,6 +35,10 @@ from loomline.llm.common import work_path
 
 CACHE, WORDS = 400_000, 200_000
 NO_ID = -(2**63)
+#: A shard holds about so much text, if that makes more shards than a shuffle has partitions. The manifest, a row per shard,
+#: comes to the driver: a million rows for 128 TB.
+SHARD_BYTES = 128_000_000
+READ_DOCS = 10_000
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SMALL = "a-zß-öø-ÿ"
 #: White space other than space and line feed, and what some libraries count as such.
@@ -155,7 +159,10 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, out: str | None = N
     per shard with ``shard, path, bits, n_docs, n_ids, base``. ``out`` is a folder that all executors share."""
     spark = docs.sparkSession
     out = out or work_path(spark, "ids")
-    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer; .doc files hold 64-bit ids")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     tie = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
@@ -201,7 +208,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, out: str | None = N
 
 
 def read_ids(manifest: DataFrame, out: str) -> DataFrame:
-    """Reads the files again: ``doc_id, start, n_tokens, ids_crc32`` of every document, from memory-mapped shards."""
+    """Reads the files again: ``doc_id, start, n_tokens, ids_crc32`` of every document, from shards mapped into memory, or read by range."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,25 +217,28 @@ def read_ids(manifest: DataFrame, out: str) -> DataFrame:
         store, _ = _store(out)
         local = store.type_name == "local"
 
-        def numbers(path, kind):
+        def numbers(path: str, kind: str, lo: int, hi: int) -> np.ndarray:
+            """A range of a file's numbers: mapped where the store is a local file system, else read by range."""
+            width = np.dtype(kind).itemsize
             if local:
-                return np.memmap(path, kind, "r")
+                return np.memmap(path, kind, "r")[lo:hi] if hi > lo else np.empty(0, kind)
             with store.open_input_file(path) as f:
-                return np.frombuffer(f.read_buffer(), kind)
+                return np.frombuffer(f.read_at((hi - lo) * width, lo * width), kind)
 
         for batch in batches:
             for s in batch.to_pylist():
-                ids = numbers(s["path"] + ".bin", "<u2" if s["bits"] == 16 else "<u4")
-                offsets, docs = numbers(s["path"] + ".idx", "<i8"), numbers(s["path"] + ".doc", "<i8")
-                for lo in range(0, len(docs), 10_000):
-                    part = docs[lo : lo + 10_000].tolist()
-                    cuts = offsets[lo : lo + len(part) + 1].tolist()
+                kind = "<u2" if s["bits"] == 16 else "<u4"
+                for lo in range(0, s["n_docs"], READ_DOCS):
+                    hi = min(lo + READ_DOCS, s["n_docs"])
+                    part = numbers(s["path"] + ".doc", "<i8", lo, hi).tolist()
+                    cuts = numbers(s["path"] + ".idx", "<i8", lo, hi + 1).tolist()
+                    ids = numbers(s["path"] + ".bin", kind, cuts[0], cuts[-1])
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": [None if x == NO_ID else x for x in part],
                             "start": [s["base"] + a for a in cuts[:-1]],
                             "n_tokens": [b - a for a, b in pairwise(cuts)],
-                            "ids_crc32": [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in pairwise(cuts)],
+                            "ids_crc32": [zlib.crc32(ids[a - cuts[0] : b - cuts[0]].astype("<u4").tobytes()) for a, b in pairwise(cuts)],
                         },
                         schema=schema,
                     )
