@@ -3,8 +3,9 @@
 Features: densities and counts of a fixed lexicon of insults (as written, and only after undoing digits, signs, repeats
 and spacing) and of a learned one (words and word beginnings that come in far more toxic than other labelled texts), their nearness to words of the second person, capitals, punctuation, digits, repeated letters, length. The
 trees and the learned lexicon are fitted on the driver to a sample of labelled rows whose size is a parameter
-(``Fit.rows``, the rows with the smallest hashes). While the trees are fitted, a row's learned lexicon is that of the half
-of the sample that it isn't in, so its own label isn't among its features; the last fifth of the sample calibrates. Scoring is one pass without a shuffle.
+(``Fit.rows``, the rows with the smallest hashes, without texts over ``Fit.longest``). While the trees are fitted, a row's
+learned lexicon is that of the ``Fit.folds`` that it isn't in, so its own label isn't among its features; and all rows
+calibrate, each by the score of trees that haven't seen its fold. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts have features of their own (all zero) and get a score; with no labelled rows, or
 of one label only, every score is the share of toxic rows (0 if there are none); labels whose id repeats count as toxic if one of
@@ -49,6 +50,8 @@ class Fit:
     rate: float = 0.15
     least: int = 20  # rows in a leaf
     bins: int = 32
+    folds: int = 4
+    longest: int = 100_000  # characters of a row that may be drawn, so the sample's size is bounded in bytes, too
 
 
 def _squeezed(word: str) -> str:
@@ -255,21 +258,24 @@ _readers: dict[tuple, _Kinds] = {}
 
 
 class Model:
+    """Each row of the sample has the features that the lexicon of the other ``folds`` gives it. The trees that score are fitted
+    to all rows; the calibration is fitted to scores that each row gets from trees of the other folds."""
+
     def __init__(self, texts: list[str], y: np.ndarray, fit: Fit):
         self.share = float(y.mean()) if len(y) else 0.0
         self.lexicon = learned_lexicon(texts, y)
-        halves = np.arange(len(y)) % 2
-        x = np.zeros((len(y), len(FEATURES)))
-        for half in (0, 1):
-            known = _Kinds(learned_lexicon([t for t, h in zip(texts, halves, strict=True) if h != half], y[halves != half]))
-            for i in np.flatnonzero(halves == half):
+        fold = np.arange(len(y)) % fit.folds
+        x, raw = np.zeros((len(y), len(FEATURES))), np.zeros(len(y))
+        for f in range(fit.folds):
+            known = _Kinds(learned_lexicon([t for t, own in zip(texts, fold, strict=True) if own != f], y[fold != f]))
+            for i in np.flatnonzero(fold == f):
                 x[i] = features(texts[i], known)
         self.trees = None
-        if len(y) >= 10 and 0 < self.share < 1:
-            last = len(y) - len(y) // 5
-            if 0 < y[:last].mean() < 1:
-                self.trees = Boosted(fit).train(x[:last], y[:last])
-                self.xs, self.ys = isotonic(self.trees.raw(x[last:]), y[last:])
+        if len(y) >= 10 and all(0 < y[fold != f].mean() < 1 for f in range(fit.folds)):
+            self.trees = Boosted(fit).train(x, y)
+            for f in range(fit.folds):
+                raw[fold == f] = Boosted(fit).train(x[fold != f], y[fold != f]).raw(x[fold == f])
+            self.xs, self.ys = isotonic(raw, y)
 
     def read(self, texts: list[str]) -> np.ndarray:
         key = tuple(self.lexicon.items())
@@ -282,9 +288,8 @@ class Model:
         if self.trees is None:
             return np.full(len(x), self.share)
         raw = self.trees.raw(x)
-        level = np.interp(raw, self.xs, self.ys)
-        # A hundredth of the uncalibrated odds keeps the order within the calibration's steps.
-        return np.clip(0.99 * level + 0.01 / (1 + np.exp(-raw)), 0, 1)
+        # A millionth of the uncalibrated odds keeps the order within the calibration's steps.
+        return (np.interp(raw, self.xs, self.ys) + 1e-6 / (1 + np.exp(-raw))) / (1 + 1e-6)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -297,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("__y"))
     chosen = chosen.withColumn("__hash", F.xxhash64("doc_id")).orderBy("__hash", "doc_id").limit(fit.rows)
     # The sample's size is the parameter's, so its ids are small enough to send to every task.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= fit.longest)
 
     got = rows.select("__hash", "text", "__y").orderBy("__hash", "text").limit(fit.rows).toArrow()
     return Model(got.column("text").to_pylist(), got.column("__y").to_numpy(), fit)

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomline.llm import decontaminate, licenses, packing, quality, queries, urls
+from loomline.llm import decontaminate, licenses, packing, quality, queries, tokens, toxicity, urls
 
 
 def letters(rng, n):
@@ -223,3 +225,90 @@ def test_many_rules(spark, monkeypatch):
         monkeypatch.setattr(urls, "BROADCAST_CHARS", chars)
         got = urls.match(df, table).collect()
         assert len(got) == len(pages) and all((r.verdict, r.rule) == slow(r.url) for r in got)
+
+
+def test_token_files_by_ranges(spark, monkeypatch):
+    """Shards read in ranges of a few documents, mapped or not, and string ids refused."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7)) or None) for i in range(40)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = sorted(map(tuple, tokens.round_trip(docs, path, 2).collect()))
+
+    def portions(n):
+        monkeypatch.setattr(tokens, "READ_DOCS", n)
+        return sorted(map(tuple, tokens.round_trip(docs, path, 2).collect()))
+
+    assert portions(3) == want and [r[0] for r in want] == list(range(40))
+    with pytest.raises(TypeError):
+        tokens.write_ids(docs.select(F.col("doc_id").cast("string"), "text"), path, 2)
+
+
+def slow_raw(model, x):
+    """A row's raw score by walking every tree."""
+    out = []
+    for row in x:
+        total = model.base
+        for splits, values in model.trees:
+            k = 0
+            for _ in range(model.fit.depth):
+                s = splits[k]
+                right = s is not None and sum(row[s[0]] > c for c in model.cuts[s[0]]) > s[1]
+                k = 2 * k + 1 + right
+            total += values[k - (2**model.fit.depth - 1)]
+        out.append(total)
+    return np.array(out)
+
+
+def test_boosted_trees():
+    """Scores by walking the trees; a first tree's root is the best split by an exhaustive search; loss falls with each tree."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 1] + 0.5 * (x[:, 2] > 0) + rng.normal(size=500) * 0.3 > 0.3).astype(float)
+    fit = toxicity.Fit(trees=12, depth=2)
+    model = toxicity.Boosted(fit).train(x, y)
+    assert np.allclose(model.raw(x), slow_raw(model, x))
+    p = y.mean()
+    g, h = y - p, np.full(500, p * (1 - p))
+    gains = {}
+    for j, cuts in enumerate(model.cuts):
+        for b, cut in enumerate(cuts):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= fit.least:
+                gains[j, b] = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1)
+    j, b = model.trees[0][0][0]
+    assert gains[j, b] == pytest.approx(max(gains.values()))
+    losses = []
+    for n in range(1, 13):
+        part = toxicity.Boosted(fit)
+        part.cuts, part.base, part.trees = model.cuts, model.base, model.trees[:n]
+        raw = part.raw(x)
+        losses.append(np.mean(np.log1p(np.exp(-raw)) * y + np.log1p(np.exp(raw)) * (1 - y)))
+    assert all(b < a for a, b in zip(losses, losses[1:], strict=False))
+
+
+def test_toxicity_query(spark):
+    """The registered query: every document, the held-out share of labels predicted well, and scores that mean what they say."""
+    got = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
+    y, p = np.array([r.toxic for r in got]), np.array([r.score for r in got])
+    right = np.mean([r.predicted == r.toxic for r in got])
+    rank = p.argsort().argsort()
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    print(f"held out {len(y)}: accuracy {right:.4f}, area {auc:.4f}, mean score {p.mean():.4f}, share {y.mean():.4f}")
+    assert right > 0.97 and auc > 0.95 and abs(p.mean() - y.mean()) < 0.02
+
+
+@pytest.mark.parametrize("name", ["op2_token_files", "op3_decontaminate", "op4_secret_scan", "op7_quality_rules", "op10_license_scan"])
+def test_registered(spark, name):
+    """Queries without SQL return their contract's columns, one row per document (op3: per contaminated one)."""
+    sf = "/root/testdata/sf0.001"
+    want = {
+        "op2_token_files": "doc_id start n_tokens ids_crc32",
+        "op3_decontaminate": "doc_id items passages",
+        "op4_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+        "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op10_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    }
+    got = queries.QUERIES[name](spark, sf)
+    assert got.columns == want[name].split()
+    ids = sorted(r.doc_id for r in got.select("doc_id").collect())
+    all_ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert ids == all_ids or name == "op3_decontaminate" and 0 < len(ids) < len(all_ids) and set(ids) <= set(all_ids)
