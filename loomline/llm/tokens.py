@@ -2,7 +2,7 @@
 
 **Encoder.** Ids come from the ``tokenizers`` library; the vocabulary file's path is a parameter. Both kinds of
 vocabulary that are supported cut a text at white space before they merge, so a text's ids are the ids of its words
-in order. The encoder keeps the ids of words and of their pre-tokens that it has met, as bytes, in caches that are
+in order. The encoder keeps the ids of words and of their pre-tokens that it has met twice, as bytes, in caches that are
 emptied at ``WORDS`` and ``CACHE`` entries. A word outside ASCII and the Latin-1 letters goes to the library as it is, and a text
 with unusual white space goes there whole, so that nothing depends on how this module classifies characters.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import work_path
 
-CACHE, WORDS = 400_000, 200_000
+CACHE, WORDS = 150_000, 600_000
 NO_ID = -(2**63)
 #: A shard holds about so much text, if that makes more shards than a shuffle has partitions. The manifest, a row per shard,
 #: comes to the driver: a million rows for 128 TB.
@@ -51,15 +51,23 @@ _RUNS = re.compile(r"\s*\S+|\s+")
 
 
 class _Cache(dict):
+    """What ``make`` gives for a key, kept from the second time on that the key is asked for (as far as a bitmap of hashes
+    tells), since most different words of a corpus come once. Emptied at ``most`` entries; results never depend on it."""
+
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.met = make, most, bytearray(1 << 20)
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
         out = self.make(key)
-        if len(key) <= 64:
+        at = hash(key)
+        place, bit = at >> 3 & 0xFFFFF, 1 << (at & 7)
+        if not self.met[place] & bit:
+            self.met[place] |= bit
+        elif len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+                self.met = bytearray(1 << 20)
             self[key] = out
         return out
 
@@ -100,10 +108,13 @@ class Encoder:
         return out.tobytes()
 
     def _token(self, token: str) -> bytes:
-        spelled = token.encode().decode("latin-1").translate(self.table)
+        spelled = token.replace(" ", "\u0120").replace("\n", "\u010a") if token.isascii() else token.encode().decode("latin-1").translate(self.table)
         return self._bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
     def _chunk(self, chunk: str) -> bytes:
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha() and word.isascii():  # one pre-token
+            return self._token(chunk.lower() if self.lower else chunk)
         if not _PLAIN.fullmatch(chunk):
             return self.whole(chunk)
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(chunk.lower() if self.lower else chunk)))
