@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The earth's radius, and metres of a degree on the plane.
 EARTH_M = 6371000.0
 METRES_PER_DEGREE = 111320.0
 
@@ -66,6 +67,7 @@ def decay(gap: Column, window: float) -> Column:
 
 
 def log_ratio(a: Column, b: Column) -> Column:
+    """|log(a / b)| of sizes of at least 1; a null size counts as 1."""
     one = F.lit(1.0)
     return F.abs(F.log(F.greatest(a.cast("double"), one) / F.greatest(b.cast("double"), one)))
 
@@ -88,11 +90,12 @@ def link_score(visual: Column, a: str, b: str, gap: Column, reach: float, weight
     return weights[0] * F.greatest(visual, F.lit(0.0)) + weights[1] * place + weights[2] * near + weights[3] * size
 
 
+#: Shares of appearance, place, gap and size.
 TRAJECTORY, ENDPOINT = (0.55, 0.25, 0.15, 0.05), (0.52, 0.25, 0.13, 0.10)
 
 
 def quality(n: Column, w: Column, h: Column, conf: Column) -> Column:
-    """Of a track: detections, area and confidence count for it, odd proportions and tiny boxes against it."""
+    """Of a track: detections, area and confidence count for it, odd proportions and tiny boxes against it. A null confidence counts as 0, null sizes as 1."""
     one = F.lit(1.0)
     tall = F.greatest(h, one) / F.greatest(w, one)
     odd = F.least(F.abs(F.log(F.greatest(tall, F.lit(1e-6)) / 2.4)) / 1.25, one)
@@ -127,14 +130,16 @@ def motion(delta: Column, scale: Column, names: tuple[str, str]) -> Column:
 
 def colour(r: Column, g: Column, b: Column) -> Column:
     """A coarse colour name by hue, saturation and value; channels are clipped to 0..255, null or NaN is unknown."""
-    r, g, b = (F.greatest(F.least(c.cast("double"), F.lit(255.0)), F.lit(0.0)) for c in (r, g, b))
+    r, g, b = (c.cast("double") for c in (r, g, b))
+    unknown = r.isNull() | g.isNull() | b.isNull() | F.isnan(r) | F.isnan(g) | F.isnan(b)  # before clipping, which skips nulls
+    r, g, b = (F.greatest(F.least(c, F.lit(255.0)), F.lit(0.0)) for c in (r, g, b))
     most, least = F.greatest(r, g, b), F.least(r, g, b)
     span = most - least
     turn = F.when(span == 0, 0.0).when(r == most, (g - b) / span).when(g == most, 2.0 + (b - r) / span).otherwise(4.0 + (r - g) / span)
     hue = F.pmod(turn / 6.0, F.lit(1.0)) * 360.0
     value, saturation = most / 255.0, F.when(most > 0, span / most).otherwise(0.0)
     return (
-        F.when(r.isNull() | g.isNull() | b.isNull() | F.isnan(r) | F.isnan(g) | F.isnan(b), "unknown")
+        F.when(unknown, "unknown")
         .when(most < 45, "black").when((most > 220) & (span < 28), "white").when(span < 30, "gray")
         .when((hue >= 20) & (hue < 50) & (value < 0.65), "brown").when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange")
         .when(hue < 75, "yellow").when(hue < 165, "green").when(hue < 250, "blue").when(hue < 310, "purple")

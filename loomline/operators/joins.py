@@ -7,11 +7,15 @@ skewed, and grows with the pairs instead of with the square of a key's rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import expr
 
+BLOCK = 2048
+
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns])
@@ -39,25 +43,109 @@ def follows(rows: DataFrame, keys: list[str], lo: str, hi: str, id_: str, most:
     return pairs.unionByName(flipped).where((gap > 0) & (gap <= most)).withColumn("gap", gap)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, blocks: int = 8, same: Column | None = None) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists of numbers as a matrix."""
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+
+
+def _blocks_of(n: int) -> int:
+    """For tables of any size: blocks of at most ``BLOCK`` rows, and at least a few for small ones to run in parallel."""
+    return max(-(-n // BLOCK), min(4, -(-n // 256)), 1)
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, apart: tuple[str, str] | None = None) -> DataFrame:
     """Exact top ``k`` of ``items`` (``item``, ``i_vec``) by cosine for every row of ``queries`` (``query``, ``q_vec``), ties by
-    item. Items are cut into ``blocks``; each query meets each block once and keeps its best ``k`` there, so what is shuffled is ``k``
-    rows per query and block. ``same``: pairs that don't count."""
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-    pairs = q.join(i, "block").where(F.col("query") != F.col("item"))
-    if same is not None:
-        pairs = pairs.where(~same)
-    scored = pairs.withColumn("sim", F.round(expr.dot(F.col("q_vec"), F.col("i_vec")), 6)).drop("q_vec", "i_vec")
-    order = (F.col("sim").desc(), F.col("item").asc())
-    local = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query", "block").orderBy(*order))).where(F.col("rank") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("long")).where(F.col("rank") <= k).drop("block")
-
-
-def token_pairs(rows: DataFrame, id_: str, tokens: str, most_rows: int, least_shared: int) -> DataFrame:
-    """Pairs that share at least ``least_shared`` tokens, of tokens that occur in at most ``most_rows`` rows."""
+    item; ``apart``: an integer column of either side, where pairs with equal values don't count. The columns are ``query, item, sim, rank``.
+
+    Both sides are cut into blocks by their numbers of rows. A pair of blocks is one matrix product, of which each query keeps its
+    best ``k``: a task holds two blocks, a row is sent once for each block of the other side, and ``k`` rows per query and block go on.
+    Rows with null vectors are near nothing.
+    """
+    own = lambda df, name, vec, group: df.where(F.col(vec).isNotNull()).select(F.col(name).alias("id"), F.col(vec).cast("array<double>").alias("vec"), (F.col(group).cast("long") if group else F.lit(None).cast("long")).alias("grp"))
+    q, i = own(queries, "query", "q_vec", apart and apart[0]), own(items, "item", "i_vec", apart and apart[1])
+    n_q, n_i = _blocks_of(q.count()), _blocks_of(i.count())
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("q_block", block(n_q)).withColumn("i_block", all_of(n_i))
+    i = i.withColumn("i_block", block(n_i)).withColumn("q_block", all_of(n_q))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        sim = np.round(_matrix(left.column("vec")) @ _matrix(right.column("vec")).T, 6)
+        ids, items = left.column("id").to_numpy(), right.column("id").to_numpy()
+        out = ids[:, None] == items
+        if apart:
+            out |= left.column("grp").to_numpy()[:, None] == right.column("grp").to_numpy()
+        sim[out] = -np.inf
+        order = np.argsort(items, kind="stable")
+        top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]  # ties: the lower item first
+        value = np.take_along_axis(sim, top, axis=1)
+        row, at = np.nonzero(np.isfinite(value))
+        return pa.table([ids[row], items[top[row, at]], value[row, at]], schema=schema)
+
+    schema = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("sim", pa.float64())])
+    local = q.groupBy("q_block", "i_block").cogroup(i.groupBy("q_block", "i_block")).applyInArrow(best, "query long, item long, sim double")
+    w = Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col("item").asc())
+    return local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def best_by_label(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``query, label, sim``: for every query its best item of each label, other than itself. Blocks meet as in :func:`nearest`."""
+    q = queries.where("q_vec is not null").select("query", F.col("q_vec").cast("array<double>").alias("vec"))
+    i = items.where("i_vec is not null and label is not null").select("item", F.col("label").cast("long").alias("label"), F.col("i_vec").cast("array<double>").alias("vec"))
+    n_q, n_i = _blocks_of(q.count()), _blocks_of(i.count())
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("q_block", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("i_block", all_of(n_i))
+    i = i.withColumn("i_block", F.pmod(F.xxhash64("item"), F.lit(n_i)).cast("int")).withColumn("q_block", all_of(n_q))
+    schema = pa.schema([("query", pa.int64()), ("label", pa.int64()), ("sim", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids = left.column("query").to_numpy()
+        sim = np.round(_matrix(left.column("vec")) @ _matrix(right.column("vec")).T, 6)
+        sim[ids[:, None] == right.column("item").to_numpy()] = -np.inf
+        labels, at = np.unique(right.column("label").to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        top = np.maximum.reduceat(sim[:, order], np.searchsorted(at[order], np.arange(len(labels))), axis=1)
+        row, column = np.nonzero(np.isfinite(top))
+        return pa.table([ids[row], labels[column], top[row, column]], schema=schema)
+
+    local = q.groupBy("q_block", "i_block").cogroup(i.groupBy("q_block", "i_block")).applyInArrow(best, "query long, label long, sim double")
+    return local.groupBy("query", "label").agg(F.max("sim").alias("sim"))
+
+
+def near_pairs(rows: DataFrame, key: str, id_: str, vec: str, least: float) -> DataFrame:
+    """``i, j, sim`` of all pairs ``i < j`` of one ``key`` whose vectors' product is at least ``least``. A key's rows are cut into
+    blocks by their number, and each pair of blocks is one matrix product."""
+    rows = rows.select(F.col(key).alias("key"), F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "vec")
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("sim", pa.float64())])
+
+    def pairs(group: pa.Table) -> pa.Table:
+        own, ids, x = group.column("own").to_numpy(), group.column("id").to_numpy(), _matrix(group.column("vec"))
+        cross = group.column("a")[0].as_py() != group.column("b")[0].as_py()
+        left, right = (own == own.min(), own != own.min()) if cross else (own == own, own == own)
+        sim = np.round(x[left] @ x[right].T, 6)
+        at_i, at_j = np.nonzero(sim >= least)
+        i, j, s = ids[left][at_i], ids[right][at_j], sim[at_i, at_j]
+        ok = i != j if cross else i < j
+        return pa.table([np.minimum(i, j)[ok], np.maximum(i, j)[ok], s[ok]], schema=schema)
+
+    return rows.groupBy("key", "a", "b").applyInArrow(pairs, "i long, j long, sim double")
+
+
+def token_pairs(rows: DataFrame, id_: str, tokens: str, most_share: float, least_shared: int) -> DataFrame:
+    """Pairs that share at least ``least_shared`` tokens, of tokens that occur in at most the share ``most_share`` of all rows: a
+    token that many rows have says little. With a share of 1 every token counts."""
     long = rows.select(F.col(id_).alias("id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    rare = long.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_rows)).select("token")
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    rare = long.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where((F.col("n") >= 2) & (F.col("n") <= most_share * F.col("total"))).select("token")
     kept = long.join(rare, "token")
     pairs = kept.select("token", F.col("id").alias("i")).join(kept.select("token", F.col("id").alias("j")), "token").where("i < j")
     return pairs.groupBy("i", "j").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least_shared)

@@ -22,9 +22,12 @@ def average_linkage(n: int, edges: list[tuple[int, int, float]], theta: float, f
         d[i, j] = d[j, i] = FORBIDDEN
     np.fill_diagonal(d, np.inf)
     size, root, alive = np.ones(n), np.arange(n), n
+    # Each row's least distance and its first place; a merge changes two rows, and others only where these were their nearest.
+    place = d.argmin(axis=1)
+    least = d[np.arange(n), place]
     while alive > (count or 1):
-        at = int(d.argmin())
-        i, j = sorted(divmod(at, n))
+        i = int(least.argmin())
+        i, j = sorted((i, int(place[i])))
         if not np.isfinite(d[i, j]) or (count is None and d[i, j] >= 1.0 - theta):
             break
         merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
@@ -34,6 +37,12 @@ def average_linkage(n: int, edges: list[tuple[int, int, float]], theta: float, f
         size[i] += size[j]
         root[root == j] = i
         alive -= 1
+        stale = np.flatnonzero((place == i) | (place == j))
+        stale = np.unique(np.concatenate([stale, [i, j]]))
+        place[stale] = d[stale].argmin(axis=1)
+        nearer = (merged < least) | ((merged == least) & (i < place))
+        place[nearer] = i
+        least = d[np.arange(n), place]
     return np.unique(root, return_inverse=True)[1]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomline.functions import expr
+from loomline.operators import joins
 from loomline.plans.adapter import DEC, DET, TRK, VEC, decisions, detections, table, tracklet_vectors, tracklets, vectors
 from loomline.plans.registry import query
 from loomline.plans.relational import _IOU_SQL, _r, _tracks
@@ -153,33 +154,37 @@ def frames_with_truth(spark, sf):
     return d.where("det_id % 2 = 0").join(g, (F.col("video") == F.col("b_video")) & (F.col("frame_idx") == F.col("b_frame")) & near, "left_semi").select("det_id")
 
 
-@query("R5_time_bonus_edges", f"WITH {TRK}, {VEC}, t AS (SELECT seq, day, t0, t1, vec FROM trk JOIN vec ON vec_id = seq % (SELECT count(*) FROM vec) WHERE n_dets >= 4) SELECT a.seq AS i, b.seq AS j, round(list_dot_product(a.vec, b.vec) + 0.2 * exp(-greatest(0, b.t0 - a.t1, a.t0 - b.t1) / 3600000.0::DOUBLE), 6) AS score FROM t a JOIN t b ON a.day = b.day AND a.seq < b.seq")
+@query("R5_time_bonus_edges", f"WITH {TRK}, {VEC}, t AS (SELECT seq, day, t0, t1, vec FROM trk JOIN vec ON vec_id = seq % (SELECT count(*) FROM vec)) SELECT i, j, score FROM (SELECT a.seq AS i, b.seq AS j, round(round(list_dot_product(a.vec, b.vec), 6) + 0.2 * exp(-greatest(0, b.t0 - a.t1, a.t0 - b.t1) / 3600000.0::DOUBLE), 6) AS score FROM t a JOIN t b ON a.day = b.day AND a.seq < b.seq) WHERE score >= 0.3")
 def time_bonus_edges(spark, sf):
-    """Appearance plus a bonus that decays with the gap, for tracks of one day."""
-    t = tracklet_vectors(spark, sf, _tracks(spark, sf).where("n_dets >= 4").select("seq", "day", "t0", "t1")).select("seq", "day", "t0", "t1", "vec")
-    b = t.select("day", *[F.col(c).alias(f"b_{c}") for c in ("seq", "t0", "t1", "vec")])
-    gap = expr.interval_gap(F.col("t0"), F.col("t1"), F.col("b_t0"), F.col("b_t1"))
-    score = expr.dot(F.col("vec"), F.col("b_vec")) + 0.2 * F.exp(-gap / F.lit(3600000.0))
-    return t.join(b, "day").where("seq < b_seq").select(F.col("seq").alias("i"), F.col("b_seq").alias("j"), _r(score).alias("score"))
+    """Appearance plus a bonus that decays with the gap, for tracks of one day, where that reaches 0.3: appearance 0.1 at least."""
+    t = tracklet_vectors(spark, sf, _tracks(spark, sf).select("seq", "day", "t0", "t1")).select("seq", "day", "t0", "t1", "vec")
+    p = joins.near_pairs(t, "day", "seq", "vec", 0.1)
+    side = lambda k, name: t.select(F.col("seq").alias(k), F.col("t0").alias(f"{name}_t0"), F.col("t1").alias(f"{name}_t1"))
+    p = p.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    gap = expr.interval_gap(F.col("a_t0"), F.col("a_t1"), F.col("b_t0"), F.col("b_t1"))
+    score = _r(F.col("sim") + 0.2 * F.exp(-gap / F.lit(3600000.0)))
+    return p.select("i", "j", score.alias("score")).where("score >= 0.3")
 
 
 @query("R2_bank_affinity", f"WITH {VEC}, s AS (SELECT a.label AS i, b.label AS j, max(round(list_dot_product(a.vec, b.vec), 6)) AS sim FROM vec a JOIN vec b ON a.label < b.label GROUP BY 1, 2) SELECT i, j, sim FROM s")
 def bank_affinity(spark, sf):
     """The best exemplar pair of two banks. Exemplars meet in blocks; each block pair keeps one row per bank pair."""
-    v = vectors(spark, sf).select("label", "vec_id", "vec")
-    blocks = 4
-    a = v.select(F.col("label").alias("i"), F.col("vec").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    b = v.select(F.col("label").alias("j"), F.col("vec").alias("vb"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    return a.join(b, "block").where("i < j").groupBy("i", "j").agg(F.max(_r(expr.dot(F.col("va"), F.col("vb")))).alias("sim"))
+    v = vectors(spark, sf)
+    best = joins.best_by_label(v.select(F.col("vec_id").alias("query"), F.col("vec").alias("q_vec")), v.select(F.col("vec_id").alias("item"), "label", F.col("vec").alias("i_vec")))
+    both = best.withColumnRenamed("label", "j").join(v.select(F.col("vec_id").alias("query"), F.col("label").alias("i")), "query")
+    return both.where("i < j").groupBy("i", "j").agg(F.max("sim").alias("sim"))
 
 
-@query("R13_confidence", f"WITH {DEC}, e AS (SELECT a.gid AS ga, b.gid AS gb, (a.n_dets + b.n_dets)::BIGINT AS w FROM dec a JOIN dec b ON a.video = b.video AND a.seq < b.seq AND a.n_dets >= 4 AND b.n_dets >= 4), x AS (SELECT ga AS gid, w, ga = gb AS own FROM e UNION ALL SELECT gb, w, ga = gb FROM e) SELECT gid, round(sum(w) FILTER (WHERE own) / sum(w), 6) AS confidence FROM x GROUP BY gid")
+@query("R13_confidence", f"WITH {DEC}, e AS (SELECT a.gid AS ga, b.gid AS gb, (a.n_dets + b.n_dets)::BIGINT AS w FROM dec a JOIN dec b ON a.video = b.video AND a.seq < b.seq), x AS (SELECT ga AS gid, w, ga = gb AS own FROM e UNION ALL SELECT gb, w, ga = gb FROM e) SELECT gid, round(sum(w) FILTER (WHERE own) / sum(w), 6) AS confidence FROM x GROUP BY gid")
 def confidence(spark, sf):
-    """Of an identity's incident edge score, the part that stays inside it."""
-    d = decisions(_tracks(spark, sf)).where("n_dets >= 4").select("video", "seq", "gid", "n_dets")
-    e = d.join(d.select("video", *[F.col(c).alias(f"b_{c}") for c in ("seq", "gid", "n_dets")]), "video").where("seq < b_seq")
-    ends = e.select(F.explode(F.array("gid", "b_gid")).alias("g"), (F.col("n_dets") + F.col("b_n_dets")).alias("w"), (F.col("gid") == F.col("b_gid")).alias("own"))
-    return ends.groupBy(F.col("g").alias("gid")).agg(_r(F.sum(F.when(F.col("own"), F.col("w"))) / F.sum("w")).alias("confidence"))
+    """Of an identity's incident edge score (pairs of a video, by their detections), the part that stays inside it; from sums by
+    video and identity, without the pairs."""
+    g = decisions(_tracks(spark, sf)).groupBy("video", "gid").agg(F.count("*").alias("n"), F.sum("n_dets").alias("w"))
+    v = g.groupBy("video").agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    own = 2 * (F.col("n") - 1) * F.col("w")
+    cross = F.col("w") * (F.col("all_n") - F.col("n")) + F.col("n") * (F.col("all_w") - F.col("w"))
+    s = g.join(v, "video").groupBy("gid").agg(F.sum(own).alias("own"), F.sum(own + cross).alias("all"), F.max("n").alias("most"))
+    return s.where(F.col("all") > 0).select("gid", _r(F.when(F.col("most") > 1, F.col("own") / F.col("all"))).alias("confidence"))
 
 
 @query("E15_state_policy", f"WITH {DEC} SELECT seq, CASE WHEN decision_type = 'forced' THEN seq WHEN decision_type = 'quarantine' THEN -1 WHEN admitted THEN gid ELSE gid + 100000 END AS gid FROM dec")

@@ -186,9 +186,9 @@ def overlay(spark, sf):
     return base.join(sparse, "seq", "full").select("seq", F.coalesce("own", "gid").alias("gid"))
 
 
-@query("P13_box_augment", f"WITH {DET} SELECT det_id, s AS scale, greatest(x1 + dx, 0) AS x1, least((x1 + w * s + dx), 1920)::DOUBLE AS x2 FROM det, (VALUES (1.0::DOUBLE), (1.5)) a(s), (VALUES (-10), (0), (10)) b(dx) WHERE det_id % 10 = 0")
+@query("P13_box_augment", f"WITH {DET} SELECT det_id, s AS scale, greatest(x1 + dx, 0) AS x1, least((x1 + w * s + dx), 1920)::DOUBLE AS x2 FROM det, (VALUES (1.0::DOUBLE), (1.5)) a(s), (VALUES (-10), (0), (10)) b(dx)")
 def box_augment(spark, sf):
-    d = detections(spark, sf).where("det_id % 10 = 0")
+    d = detections(spark, sf)
     d = d.withColumn("scale", F.explode(F.array(F.lit(1.0), F.lit(1.5)))).withColumn("dx", F.explode(F.array(F.lit(-10), F.lit(0), F.lit(10))))
     return d.select("det_id", "scale", F.greatest(F.col("x1") + F.col("dx"), F.lit(0)).alias("x1"), F.least(F.col("x1") + F.col("w") * F.col("scale") + F.col("dx"), F.lit(1920.0)).alias("x2"))
 
@@ -260,10 +260,10 @@ def same_frame_iou(spark, sf):
     return j.select(F.col("det_id").alias("a"), F.col("b_det_id").alias("b"), _r(expr.iou(expr.half_open("x1", "y1", "x2", "y2"), expr.half_open("b_x1", "b_y1", "b_x2", "b_y2"))).alias("iou"))
 
 
-@query("J7_forbidden_pairs", f"WITH {TRK} SELECT a.seq AS i, b.seq AS j FROM trk a JOIN trk b ON a.video = b.video AND a.camera = b.camera AND a.seq < b.seq AND a.frame0 <= b.frame1 AND b.frame0 <= a.frame1 WHERE a.n_dets >= 3 AND b.n_dets >= 3")
+@query("J7_forbidden_pairs", f"WITH {TRK} SELECT a.seq AS i, b.seq AS j FROM trk a JOIN trk b ON a.video = b.video AND a.camera = b.camera AND a.seq < b.seq AND a.frame0 <= b.frame1 AND b.frame0 <= a.frame1")
 def forbidden_pairs(spark, sf):
     """Tracks that one stream shows at the same time: a range self-join, cut into buckets of two hours' frames."""
-    t = _tracks(spark, sf).where("n_dets >= 3").select("seq", "video", "camera", "frame0", "frame1")
+    t = _tracks(spark, sf).select("seq", "video", "camera", "frame0", "frame1")
     return joins.interval_pairs(t, ["video", "camera"], "frame0", "frame1", "seq", 120).select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"))
 
 
@@ -273,9 +273,9 @@ def gap_pairs(spark, sf):
     return joins.follows(t, ["video", "camera"], "frame0", "frame1", "seq", 15, 240).select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), "gap")
 
 
-@query("J9_time_support", f"WITH {TRK} SELECT a.seq AS i, b.seq AS j, round(exp(-greatest(0, b.t0 - a.t1, a.t0 - b.t1) / 60000.0::DOUBLE), 6) AS support FROM trk a JOIN trk b ON a.seq < b.seq AND a.day = b.day AND greatest(0, b.t0 - a.t1, a.t0 - b.t1) <= 60000 WHERE a.n_dets = 1 AND b.n_dets = 1")
+@query("J9_time_support", f"WITH {TRK} SELECT a.seq AS i, b.seq AS j, round(exp(-greatest(0, b.t0 - a.t1, a.t0 - b.t1) / 60000.0::DOUBLE), 6) AS support FROM trk a JOIN trk b ON a.seq < b.seq AND a.day = b.day AND greatest(0, b.t0 - a.t1, a.t0 - b.t1) <= 60000")
 def time_support(spark, sf):
-    t = _tracks(spark, sf).where("n_dets = 1").select("seq", "day", "t0", "t1")
+    t = _tracks(spark, sf).select("seq", "day", "t0", "t1")
     p = joins.interval_pairs(t, ["day"], "t0", "t1", "seq", 600_000, 60_000)
     gap = expr.interval_gap(F.col("a_t0"), F.col("a_t1"), F.col("b_t0"), F.col("b_t1"))
     return p.select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), _r(expr.decay(gap, 60000)).alias("support"))
@@ -295,9 +295,16 @@ def neighbour_decisions(spark, sf):
     return decisions(_tracks(spark, sf)).select("seq", F.lag("seq").over(w).alias("previous"), F.lead("seq").over(w).alias("next"))
 
 
-@query("J13_token_pairs", None)
+_TOK = """tok AS (SELECT seq, unnest([
+  'aspect:' || CASE WHEN h / w < 1.7 THEN 'wide' WHEN h / w < 2.5 THEN 'body' WHEN h / w < 3.4 THEN 'tall' ELSE 'very_tall' END,
+  'conf:' || CASE WHEN conf < 0.35 THEN 'low' WHEN conf < 0.55 THEN 'medium' WHEN conf < 0.75 THEN 'high' ELSE 'very_high' END, 'day:' || day,
+  'duration:' || CASE WHEN frame1 - frame0 + 1 < 8 THEN 'very_short' WHEN frame1 - frame0 + 1 < 24 THEN 'short' WHEN frame1 - frame0 + 1 < 90 THEN 'medium' WHEN frame1 - frame0 + 1 < 240 THEN 'long' ELSE 'very_long' END,
+  'height:' || CASE WHEN h < 80 THEN 'tiny' WHEN h < 150 THEN 'small' WHEN h < 260 THEN 'medium' WHEN h < 420 THEN 'large' ELSE 'xlarge' END]) AS token FROM trk)"""
+
+
+@query("J13_token_pairs", f"WITH {TRK}, {_TOK}, rare AS (SELECT token FROM tok GROUP BY token HAVING count(*) >= 2 AND count(*) <= 0.05 * (SELECT count(*) FROM trk)), k AS (SELECT seq, token FROM tok SEMI JOIN rare USING (token)) SELECT a.seq AS i, b.seq AS j, count(*) AS n_shared FROM k a JOIN k b ON a.token = b.token AND a.seq < b.seq GROUP BY 1, 2 HAVING count(*) >= 2")
 def token_pairs(spark, sf):
-    return joins.token_pairs(weak_tokens(_tracks(spark, sf).where("n_dets >= 4")), "seq", "tokens", 200, 2)
+    return joins.token_pairs(weak_tokens(_tracks(spark, sf)), "seq", "tokens", 0.05, 2)
 
 
 @query("J14_shared_frames", f"WITH {DET} SELECT a.seq AS i, b.seq AS j, count(*) AS shared, round(avg({_IOU_SQL}), 6) AS mean_iou, round(max({_IOU_SQL}), 6) AS max_iou FROM det a JOIN det b ON a.video = b.video AND a.frame_idx = b.frame_idx AND a.seq < b.seq GROUP BY a.seq, b.seq")
@@ -520,10 +527,13 @@ def canonical_walk(spark, sf):
     return replay.canonical(merges(spark), 500)
 
 
-@query("U6_dedup_edges", f"WITH {TRK}, e AS (SELECT a.seq AS s, b.seq AS t, a.n_dets AS score FROM trk a JOIN trk b ON a.video = b.video AND a.seq <> b.seq AND a.n_dets >= 5 AND b.n_dets >= 5) SELECT least(s, t) AS i, greatest(s, t) AS j, max(score) AS score FROM e GROUP BY 1, 2")
+@query("U6_dedup_edges", f"WITH {TRK}, e AS (SELECT a.seq AS s, b.seq AS t, a.n_dets AS score FROM trk a JOIN trk b ON a.video = b.video AND a.camera = b.camera AND a.seq <> b.seq AND greatest(a.frame0, b.frame0) - least(a.frame1, b.frame1) <= 30) SELECT least(s, t) AS i, greatest(s, t) AS j, max(score) AS score FROM e GROUP BY 1, 2")
 def dedup_edges(spark, sf):
-    t = _tracks(spark, sf).where("n_dets >= 5").select("video", "seq", "n_dets")
-    e = t.select("video", F.col("seq").alias("s"), F.col("n_dets").alias("score")).join(t.select("video", F.col("seq").alias("t")), "video").where("s <> t")
+    """Tracks of a stream that are at most 30 frames apart propose each other with their own scores; of either direction the best stays."""
+    t = _tracks(spark, sf).select("seq", "video", "camera", "frame0", "frame1", "n_dets")
+    p = joins.interval_pairs(t, ["video", "camera"], "frame0", "frame1", "seq", 240, 30)
+    ways = F.explode(F.array(F.struct(F.col("a_seq").alias("s"), F.col("b_seq").alias("t"), F.col("a_n_dets").alias("score")), F.struct(F.col("b_seq").alias("s"), F.col("a_seq").alias("t"), F.col("b_n_dets").alias("score"))))
+    e = p.select(ways.alias("e")).select("e.*")
     return e.groupBy(F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.max("score").alias("score"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions import expr
 from loomline.operators import joins, kernels
 from loomline.operators.graph import components
+from loomline.operators.scratch import staged
 from loomline.plans.adapter import DEC, DET, TRK, VEC, decisions, detections, tracklet_vectors, tracklets, vectors, weak_tokens
 from loomline.plans.registry import query
 from loomline.plans.vectors import KNN, knn
@@ -33,7 +34,7 @@ def linkage(v: DataFrame, theta: float, k: int) -> DataFrame:
     """``id, label``: average linkage at ``theta`` over nearest-neighbour affinities, a kernel per component of the edges over 0.
 
     Unlinked items are at distance 1, so for ``theta`` > 0 clusters of different components never merge."""
-    edges = knn_edges(v, k).where("sim > 0")
+    edges = staged(knn_edges(v, k).where("sim > 0"), "edges")
     roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
     grouped = edges.join(roots.select(F.col("id").alias("i"), "root"), "i")
 
@@ -60,8 +61,7 @@ def guarded_graph(spark, sf):
     t = tracklets(detections(spark, sf)).select("seq", "video", "camera", "frame0", "frame1", "day")
     bars = joins.interval_pairs(t, ["video", "camera"], "frame0", "frame1", "seq", 120).select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), F.lit(-1.0).alias("score"))
     tv = tracklet_vectors(spark, sf, t.select("seq", "day"))
-    b = tv.select("day", F.col("seq").alias("j"), F.col("vec").alias("vec_j"))
-    edges = tv.select("day", F.col("seq").alias("i"), "vec").join(b, "day").where("i < j").select("i", "j", F.round(expr.dot(F.col("vec"), F.col("vec_j")), 6).alias("score")).where("score >= 0.2")
+    edges = staged(joins.near_pairs(tv, "day", "seq", "vec", 0.2).withColumnRenamed("sim", "score"), "edges")
     roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
     rows = edges.unionByName(bars).join(roots.select(F.col("id").alias("i"), "root"), "i")
 
@@ -81,9 +81,9 @@ def guarded_graph(spark, sf):
 @query("R11_weak_edges")
 def weak_edges(spark, sf):
     """Candidate pairs by tokens and by trajectory, scored 0.60 appearance + 0.32 tokens + 0.08 trajectory."""
-    t = tracklets(detections(spark, sf)).where("n_dets >= 4")
+    t = tracklets(detections(spark, sf))
     tokens = weak_tokens(t)
-    by_token = joins.token_pairs(tokens, "seq", "tokens", 200, 2).select("i", "j", F.lit("tokens").alias("why"))
+    by_token = joins.token_pairs(tokens, "seq", "tokens", 0.05, 2).select("i", "j", F.lit("tokens").alias("why"))
     near = joins.interval_pairs(t.select("seq", "video", "camera", "frame0", "frame1"), ["video", "camera"], "frame0", "frame1", "seq", 240, 30)
     by_path = near.select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), F.lit("trajectory").alias("why"))
     pairs = by_token.unionByName(by_path).groupBy("i", "j").agg(F.sort_array(F.collect_set("why")).alias("why"))
@@ -188,7 +188,7 @@ def fold(rows: pd.DataFrame, matcher: kernels.Matcher) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["scope", "seq", "step", "gid", "decision_type", "admit_reason", "candidates", "scores", "vetoes"])
 
 
-def matched(spark: SparkSession, sf: str, min_dets: int = 4) -> DataFrame:
+def matched(spark: SparkSession, sf: str, min_dets: int = 1) -> DataFrame:
     d = detections(spark, sf)
     t = tracklet_vectors(spark, sf, tracklets(d).where(F.col("n_dets") >= min_dets).select("seq", "camera", "video", "t0"))
     rows = match_rows(t, d)
@@ -198,7 +198,7 @@ def matched(spark: SparkSession, sf: str, min_dets: int = 4) -> DataFrame:
 @query("T1_match_or_expand")
 def match_or_expand(spark, sf):
     """The ordered fold of the matcher per camera; the streaming twin is in ``loomline.streaming``."""
-    return matched(spark, sf, min_dets=1).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
+    return matched(spark, sf).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
 
 
 @query("T6_decision_states", f"WITH {DEC} SELECT gid, CASE WHEN max((decision_type = 'forced')::INT) = 1 THEN 'forced' WHEN count(*) FILTER (WHERE admitted) * 2 >= count(*) THEN 'committed' ELSE 'provisional' END AS status FROM dec GROUP BY gid")
@@ -208,10 +208,10 @@ def decision_states(spark, sf):
     return d.groupBy("gid").agg(F.when(forced, "forced").when(F.count_if("admitted") * 2 >= F.count("*"), "committed").otherwise("provisional").alias("status"))
 
 
-@query("R17_consensus_votes", f"WITH {DEC}, b AS (SELECT seq, gid AS p0, user_id % 31 AS p1, user_id % 53 AS p2, day FROM dec JOIN trk USING (seq) WHERE trk.n_dets >= 4) SELECT a.seq AS i, c.seq AS j, (a.p0 = c.p0)::INT + (a.p1 = c.p1)::INT + (a.p2 = c.p2)::INT AS votes FROM b a JOIN b c ON a.day = c.day AND a.seq < c.seq AND (a.p0 = c.p0 OR a.p1 = c.p1 OR a.p2 = c.p2)")
+@query("R17_consensus_votes", f"WITH {DEC}, b AS (SELECT seq, gid AS p0, user_id % 31 AS p1, user_id % 53 AS p2, day FROM dec JOIN trk USING (seq)) SELECT a.seq AS i, c.seq AS j, (a.p0 = c.p0)::INT + (a.p1 = c.p1)::INT + (a.p2 = c.p2)::INT AS votes FROM b a JOIN b c ON a.day = c.day AND a.seq < c.seq AND (a.p0 = c.p0 OR a.p1 = c.p1 OR a.p2 = c.p2)")
 def consensus_votes(spark, sf):
     """Votes of base partitions for pairs of one day: an equi-join per partition, then a count."""
-    t = tracklets(detections(spark, sf)).where("n_dets >= 4")
+    t = tracklets(detections(spark, sf))
     b = decisions(t).select("seq", "gid").join(t.select("seq", "day", "user_id"), "seq")
     long = b.select("seq", "day", F.posexplode(F.array("gid", F.col("user_id") % 31, F.col("user_id") % 53)).alias("p", "label"))
     pairs = long.select("day", "p", "label", F.col("seq").alias("i")).join(long.select("day", "p", "label", F.col("seq").alias("j")), ["day", "p", "label"]).where("i < j")

@@ -20,10 +20,10 @@ def _tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn(v: DataFrame, k: int) -> DataFrame:
-    """``query, item, q_grp, i_grp, sim, rank``: nearest vectors of other groups."""
+    """``query, item, sim, rank``: nearest vectors of other groups."""
     q = v.select(F.col("vec_id").alias("query"), F.col("grp").alias("q_grp"), F.col("vec").alias("q_vec"))
     i = v.select(F.col("vec_id").alias("item"), F.col("grp").alias("i_grp"), F.col("vec").alias("i_vec"))
-    return joins.nearest(q, i, k, same=F.col("q_grp") == F.col("i_grp"))
+    return joins.nearest(q, i, k, apart=("q_grp", "i_grp"))
 
 
 KNN = f"""{VEC}, sim AS (
@@ -100,21 +100,25 @@ def view_fusion(spark, sf):
     return v.select("vec_id", _r(F.element_at("f", 1) / F.col("len")).alias("first"), _r(F.element_at("f", -1) / F.col("len")).alias("last"))
 
 
-@query("O4_exemplar_ranking", f"WITH {VEC} SELECT q, label, sim FROM (SELECT a.vec_id AS q, b.label, max(round(list_dot_product(a.vec, b.vec), 6)) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY max(round(list_dot_product(a.vec, b.vec), 6)) DESC, b.label) AS rn FROM vec a, vec b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY 1, 2) WHERE rn <= 3")
+def _queries(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("vec").alias("q_vec"))
+
+
+@query("O4_exemplar_ranking", f"WITH {VEC} SELECT q, label, sim FROM (SELECT a.vec_id AS q, b.label, max(round(list_dot_product(a.vec, b.vec), 6)) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY max(round(list_dot_product(a.vec, b.vec), 6)) DESC, b.label) AS rn FROM vec a, vec b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id GROUP BY 1, 2) WHERE rn <= 3")
 def exemplar_ranking(spark, sf):
-    """Identities by their best exemplar, for a bounded batch of query vectors that is broadcast."""
+    """Identities by their best exemplar other than the query itself, for every twentieth vector as a query. Queries and exemplars
+    meet in blocks, and each block gives a row per query and identity."""
     v = vectors(spark, sf)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec"))
-    s = v.where("vec_id % 20 <> 0").crossJoin(F.broadcast(q)).groupBy("q", "label").agg(F.max(_r(expr.dot(F.col("vec"), F.col("q_vec")))).alias("sim"))
+    s = joins.best_by_label(_queries(v), v.select(F.col("vec_id").alias("item"), "label", F.col("vec").alias("i_vec"))).withColumnRenamed("query", "q")
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "label"))).where("rn <= 3").select("q", "label", "sim")
 
 
-@query("O2_vector_topk", f"WITH {VEC} SELECT b.vec_id, round(1 - list_dot_product(a.vec, b.vec), 6) AS distance FROM vec a, vec b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY list_dot_product(a.vec, b.vec) DESC, b.vec_id LIMIT 20")
+@query("O2_vector_topk", f"WITH {VEC}, s AS (SELECT a.vec_id AS query, b.vec_id AS item, round(list_dot_product(a.vec, b.vec), 6) AS sim FROM vec a JOIN vec b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query, item, round(1 - sim, 6) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) <= 20")
 def vector_topk(spark, sf):
+    """The twenty nearest of all vectors, by cosine distance, for every twentieth as a query."""
     v = vectors(spark, sf)
-    q = v.where("vec_id = 0").select(F.col("vec").alias("q_vec"))
-    s = v.where("vec_id <> 0").crossJoin(F.broadcast(q)).withColumn("sim", expr.dot(F.col("vec"), F.col("q_vec")))
-    return s.orderBy(F.desc("sim"), "vec_id").limit(20).select("vec_id", _r(1 - F.col("sim")).alias("distance"))
+    top = joins.nearest(_queries(v), v.select(F.col("vec_id").alias("item"), F.col("vec").alias("i_vec")), 20)
+    return top.select("query", "item", _r(1 - F.col("sim")).alias("distance"))
 
 
 @query("O3_retrieval_vote", f"WITH {KNN}, v AS (SELECT query, i_label AS label, round(avg(sim) + 1e-9, 6) AS vote FROM knn GROUP BY 1, 2) SELECT query, label, vote FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY vote DESC, label) AS rn FROM v) WHERE rn = 1")
@@ -167,12 +171,13 @@ def quality(spark, sf):
     return _tracks(spark, sf).select("seq", _r(expr.quality(F.col("n_dets"), F.col("w"), F.col("h"), F.col("conf"))).alias("quality"))
 
 
-@query("F1_haversine", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000 * asin(sqrt(pow(sin(radians((b.s_suppkey - a.s_suppkey) * 0.01) / 2), 2) + cos(radians(38 + a.s_suppkey * 0.01)) * cos(radians(38 + b.s_suppkey * 0.01)) * pow(sin(radians((b.s_nationkey - a.s_nationkey) * 0.02) / 2), 2))), 2) AS m FROM supplier a JOIN supplier b ON a.s_suppkey % 10 = b.s_suppkey % 10 AND a.s_suppkey < b.s_suppkey")
+@query("F1_haversine", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(2 * 6371000 * asin(sqrt(pow(sin(radians((b.s_suppkey - a.s_suppkey) * 0.01) / 2), 2) + cos(radians(38 + a.s_suppkey * 0.01)) * cos(radians(38 + b.s_suppkey * 0.01)) * pow(sin(radians((b.s_nationkey - a.s_nationkey) * 0.02) / 2), 2))), 2) AS m FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
 def haversine(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", (38 + F.col("s_suppkey") * 0.01).alias("lat"), (F.col("s_nationkey") * 0.02 - 77).alias("lon"), (F.col("s_suppkey") % 10).alias("k"))
-    b = s.select(F.col("s_suppkey").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "k")
+    """Metres from each supplier to the next; null after the last, whose end is null."""
+    s = table(spark, sf, "supplier").select("s_suppkey", (38 + F.col("s_suppkey") * 0.01).alias("lat"), (F.col("s_nationkey") * 0.02 - 77).alias("lon"))
+    b = s.select(F.col("s_suppkey").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     m = expr.haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))
-    return s.join(b, "k").where("s_suppkey < b").select(F.col("s_suppkey").alias("a"), "b", _r(m, 2).alias("m"))
+    return s.join(b, F.col("b") == F.col("s_suppkey") + 1, "left").select(F.col("s_suppkey").alias("a"), "b", _r(m, 2).alias("m"))
 
 
 @query("F11_bucket_tokens", f"""WITH {TRK} SELECT seq, array_to_string(list_sort([
