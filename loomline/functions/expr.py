@@ -5,7 +5,7 @@ All are built-in expressions, so they stay inside generated code and can be push
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The earth's radius, and metres of a degree on the plane.
@@ -190,3 +190,21 @@ def ridge(values: Column, fill: Column, mean: Column, scale: Column, weights: Co
     rows = F.arrays_zip(values.alias("v"), fill.alias("f"), mean.alias("m"), scale.alias("s"), weights.alias("w"))
     total = F.aggregate(rows, base.cast("double"), lambda t, r: t + r["w"] * (F.coalesce(r["v"], r["f"]) - r["m"]) / F.when(r["s"] == 0, 1.0).otherwise(r["s"]))
     return F.least(F.greatest(total, lo - margin), hi + margin)
+
+
+def local_track(video: Column, key: Column) -> Column:
+    """``video:part`` of a tracklet key: the part after its video, else the last part but one; null where there is neither."""
+    prefix, parts = F.concat(video, F.lit(":")), F.split(key, ":")
+    after = F.substring_index(F.substring(key, F.length(prefix) + 1, F.length(key)), ":", 1)
+    return F.when(F.startswith(key, prefix), F.concat(prefix, after)).when(F.size(parts) >= 2, F.concat(prefix, F.try_element_at(parts, F.lit(-2))))
+
+
+def numeric_ids(keys: DataFrame, key: str) -> DataFrame:
+    """``key, id`` for distinct names: their last digits where positive and no name before has them, else numbers above all of
+    these, in order of names. Only names without a number of their own are ordered in one task."""
+    digits = F.expr(f"try_cast(nullif(regexp_extract(`{key}`, '([0-9]+)$', 1), '') AS bigint)")
+    d = keys.select(F.col(key).alias("key"), digits.alias("digits"))
+    first = d.where("digits > 0").groupBy("digits").agg(F.min("key").alias("key"))
+    own = first.select("key", F.col("digits").alias("id"))
+    rest = d.join(own, "key", "left_anti").select("key").crossJoin(F.broadcast(d.agg(F.coalesce(F.max("digits"), F.lit(0)).alias("most"))))  # one row
+    return own.unionByName(rest.select("key", (F.col("most") + F.row_number().over(Window.orderBy("key"))).alias("id")))

@@ -201,7 +201,7 @@ def match_or_expand(spark, sf):
     return matched(spark, sf).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
 
 
-@query("T6_decision_states", f"WITH {DEC} SELECT gid, CASE WHEN max((decision_type = 'forced')::INT) = 1 THEN 'forced' WHEN count(*) FILTER (WHERE admitted) * 2 >= count(*) THEN 'committed' ELSE 'provisional' END AS status FROM dec GROUP BY gid")
+@query("EXT_decision_states", f"WITH {DEC} SELECT gid, CASE WHEN max((decision_type = 'forced')::INT) = 1 THEN 'forced' WHEN count(*) FILTER (WHERE admitted) * 2 >= count(*) THEN 'committed' ELSE 'provisional' END AS status FROM dec GROUP BY gid")
 def decision_states(spark, sf):
     d = decisions(tracklets(detections(spark, sf)))
     forced = F.max((F.col("decision_type") == "forced").cast("int")) == 1
@@ -218,7 +218,7 @@ def consensus_votes(spark, sf):
     return pairs.groupBy("i", "j").agg(F.count("*").cast("int").alias("votes"))
 
 
-@query("R24_session_windows", f"WITH {DET}, g AS (SELECT user_id, abs_ms, (abs_ms - lag(abs_ms) OVER (PARTITION BY user_id ORDER BY abs_ms) > 3600000)::INT AS fresh FROM det), s AS (SELECT user_id, abs_ms, sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY abs_ms ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(abs_ms) AS t0, max(abs_ms) AS t1, count(*) AS n FROM s GROUP BY user_id, k")
+@query("EXT_session_windows", f"WITH {DET}, g AS (SELECT user_id, abs_ms, (abs_ms - lag(abs_ms) OVER (PARTITION BY user_id ORDER BY abs_ms) > 3600000)::INT AS fresh FROM det), s AS (SELECT user_id, abs_ms, sum(coalesce(fresh, 0)) OVER (PARTITION BY user_id ORDER BY abs_ms ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(abs_ms) AS t0, max(abs_ms) AS t1, count(*) AS n FROM s GROUP BY user_id, k")
 def session_windows(spark, sf):
     """An extension: sessions of a user with gaps of up to an hour."""
     d = detections(spark, sf)
