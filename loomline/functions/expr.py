@@ -128,23 +128,35 @@ def motion(delta: Column, scale: Column, names: tuple[str, str]) -> Column:
     return F.when(still, "stable").when(delta > 0, names[1]).otherwise(names[0])
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, which keeps generated code small where it is used often."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def colour(r: Column, g: Column, b: Column) -> Column:
     """A coarse colour name by hue, saturation and value; channels are clipped to 0..255, null or NaN is unknown."""
-    r, g, b = (c.cast("double") for c in (r, g, b))
-    unknown = r.isNull() | g.isNull() | b.isNull() | F.isnan(r) | F.isnan(g) | F.isnan(b)  # before clipping, which skips nulls
-    r, g, b = (F.greatest(F.least(c, F.lit(255.0)), F.lit(0.0)) for c in (r, g, b))
-    most, least = F.greatest(r, g, b), F.least(r, g, b)
-    span = most - least
-    turn = F.when(span == 0, 0.0).when(r == most, (g - b) / span).when(g == most, 2.0 + (b - r) / span).otherwise(4.0 + (r - g) / span)
-    hue = F.pmod(turn / 6.0, F.lit(1.0)) * 360.0
-    value, saturation = most / 255.0, F.when(most > 0, span / most).otherwise(0.0)
-    return (
-        F.when(unknown, "unknown")
-        .when(most < 45, "black").when((most > 220) & (span < 28), "white").when(span < 30, "gray")
-        .when((hue >= 20) & (hue < 50) & (value < 0.65), "brown").when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange")
-        .when(hue < 75, "yellow").when(hue < 165, "green").when(hue < 250, "blue").when(hue < 310, "purple")
-        .when((saturation < 0.55) | (value > 0.65), "pink").otherwise("red")
-    )
+    channels = [c.cast("double") for c in (r, g, b)]
+    known = [c.isNotNull() & ~F.isnan(c) for c in channels]  # before clipping, which skips nulls
+    clipped = F.struct(*[F.greatest(F.least(c, F.lit(255.0)), F.lit(0.0)).alias(n) for n, c in zip("rgb", channels, strict=True)])
+
+    def spread(c: Column) -> Column:
+        return F.struct(c.alias("c"), F.greatest(c["r"], c["g"], c["b"]).alias("most"), F.least(c["r"], c["g"], c["b"]).alias("least"))
+
+    def shade(s: Column) -> Column:
+        c, most, span = s["c"], s["most"], s["most"] - s["least"]
+        turn = F.when(span == 0, 0.0).when(c["r"] == most, (c["g"] - c["b"]) / span).when(c["g"] == most, 2.0 + (c["b"] - c["r"]) / span).otherwise(4.0 + (c["r"] - c["g"]) / span)
+        return F.struct(most.alias("most"), span.alias("span"), (F.pmod(turn / 6.0, F.lit(1.0)) * 360.0).alias("hue"), F.when(most > 0, span / most).otherwise(0.0).alias("saturation"))
+
+    def name(s: Column) -> Column:
+        hue, value = s["hue"], s["most"] / 255.0
+        return (
+            F.when(s["most"] < 45, "black").when((s["most"] > 220) & (s["span"] < 28), "white").when(s["span"] < 30, "gray")
+            .when((hue >= 20) & (hue < 50) & (value < 0.65), "brown").when((hue < 15) | (hue >= 345), "red").when(hue < 45, "orange")
+            .when(hue < 75, "yellow").when(hue < 165, "green").when(hue < 250, "blue").when(hue < 310, "purple")
+            .when((s["saturation"] < 0.55) | (value > 0.65), "pink").otherwise("red")
+        )
+
+    return F.when(known[0] & known[1] & known[2], _let(_let(_let(clipped, spread), shade), name)).otherwise("unknown")
 
 
 def tokens_of_text(text: Column) -> Column:
