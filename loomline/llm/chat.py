@@ -11,7 +11,8 @@ and roles ``<`` becomes ``\\l`` and ``\\`` becomes ``\\\\``, so no text can hold
 it back exactly. Texts of assistant turns are under the loss mask; roles, marks and placeholders aren't.
 
 Turns come in order of turn, role, then content; the rows of a conversation are sorted by the shuffle and streamed, so
-a conversation isn't held whole. Defined results: a null text or role is empty; a null turn comes first; a null
+a conversation isn't held whole. It is one task's all the same, as its order and its digests want it: a table with one
+conversation is formatted by one task, in bounded memory. Conversation ids may be of any type that can be sorted. Defined results: a null text or role is empty; a null turn comes first; a null
 conversation id is a conversation; repeated rows are turns of their own; an empty table gives an empty result.
 """
 
@@ -129,14 +130,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
     key = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(formatted.schema["conv_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_, kind = None, None, None
+        now, open_ = None, None
 
         def row(x) -> list:
             return [now, x[0], x[1].hexdigest(), x[2], x[3].hexdigest(), x[4]]
 
         for batch in batches:
-            kind, done = batch.column("conv_id").type, []
+            done = []
             for conv, said, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
                 if open_ is None or conv != now:
                     done += [row(open_)] if open_ else []
@@ -155,7 +160,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield _batch([row(open_)])
 
     def _batch(rows: list) -> pa.RecordBatch:
-        schema = pa.schema([("conv_id", pa.int64() if key == "bigint" else pa.int32() if key == "int" else pa.string())] + [(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names[1:]])
+        schema = pa.schema([("conv_id", kind)] + [(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names[1:]])
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return formatted.mapInArrow(run, f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

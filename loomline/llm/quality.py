@@ -14,7 +14,8 @@ buckets make worse does no harm, nor does an end by ``steps``.
 Three estimates are made alike: for every language and source, every language, and all documents. A document's squared
 distance is the mean of those by its group's estimate and by its language's (itself drawn towards that by all) with weights
 of the group's size and ``prior``: large groups stand for themselves, the smallest follow their language, and there is no
-size at which one gives way to the other. (Distances are averaged and not scatters, since one small group full of junk
+size at which one gives way to the other. The distance by all is drawn towards 0 in the same way, so a handful of documents
+rejects less than a corpus does. (Distances are averaged and not scatters, since one small group full of junk
 would widen any mean of scatters.)
 
 Defined results: null or empty text has no words and fails the base rule; null language or source is a group of its
@@ -274,9 +275,9 @@ def estimates(rows: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def _drawn(rules: QualityRules) -> Column:
-    """The distance by the group's estimate, drawn towards the language's, and this towards that of all."""
+    """The distance by the group's estimate, drawn towards the language's, this towards that of all, and this towards none."""
     drawn = lambda n, own, wider: (n * own + rules.prior * wider) / (n + rules.prior)
-    return drawn(F.col("g_n"), _distance("g_"), drawn(F.col("l_n"), _distance("l_"), _distance("a_")))
+    return drawn(F.col("g_n"), _distance("g_"), drawn(F.col("l_n"), _distance("l_"), drawn(F.col("a_n"), _distance("a_"), F.lit(0.0))))
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), columns: list[str] | None = None) -> DataFrame:

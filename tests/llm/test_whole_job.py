@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomline.llm import decontaminate, licenses, packing, quality, queries, tokens, toxicity, urls
+from loomline.llm import chat, decontaminate, licenses, packing, quality, queries, tokens, toxicity, urls
 
 
 def letters(rng, n):
@@ -312,3 +312,40 @@ def test_registered(spark, name):
     ids = sorted(r.doc_id for r in got.select("doc_id").collect())
     all_ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
     assert ids == all_ids or name == "op3_decontaminate" and 0 < len(ids) < len(all_ids) and set(ids) <= set(all_ids)
+
+
+def test_chat_ids_of_any_type(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")], "k long, turn int, role string, text string")
+    for kind in ("int", "smallint", "string", "decimal(10,0)", "double"):
+        got = chat.read_back(chat.format_turns(df.select(F.col("k").cast(kind).alias("conv_id"), "turn", "role", "text")))
+        assert got.schema["conv_id"].dataType.simpleString() == kind and sorted((int(float(r.conv_id)), r.n_turns, r.loss_chars) for r in got.collect()) == [(1, 2, 1), (2, 1, 1)]
+
+
+def test_pipeline_takes_effect(spark, tmp_path):
+    """All stages on planted documents with an extra column whose name clashes with the operators' own: junk, copies and benchmark
+    passages go, secrets are masked, clean documents are packed whole."""
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    item = letters(rng, 30)
+    clean = [letters(rng, 90) for _ in range(60)]
+    texts = [*clean, clean[0], clean[1].replace(clean[1].split()[40], "other"), f"{letters(rng, 40)} {item} {letters(rng, 40)}", "same three words " * 60, None, ""]
+    secret = f"{letters(rng, 45)} api_key=abcdefABCDEF123456 {letters(rng, 45)}"
+    rows = [(i, t, "en", "s", len(t or ""), "x", 5) for i, t in enumerate([*texts, secret])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, __distance int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        new = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert new.columns == docs.columns, name
+        docs = new
+        kept[name] = {r.doc_id for r in docs.collect()}
+        if name == "secrets":
+            masked = {r.doc_id: r for r in docs.collect()}[66]
+            assert "abcdefABCDEF" not in masked.text and masked.n_chars == len(masked.text)
+            assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in docs.collect() if r.doc_id < 66)
+    assert kept["quality"] == {*range(63), 66}
+    assert kept["near_duplicates"] == {*range(60), 62, 66}
+    assert kept["decontamination"] == kept["secrets"] == kept["packing"] == {*range(60), 66}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["packing"]
