@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +24,8 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_tracklets(spark: SparkSession, path: str) -> DataFrame:
-    """All ``tracklets.parquet`` under a folder; columns that name an identity are never read."""
-    schema = ", ".join(x for x in TRACKER.split(", ") if "global_id" not in x)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    """All ``tracklets.parquet`` under a folder, with the tracker's columns alone: none that names an identity is read."""
+    return spark.read.schema(TRACKER).option("recursiveFileLookup", "true").option("pathGlobFilter", "tracklets.parquet").parquet(path)
 
 
 def with_file(df: DataFrame) -> DataFrame:
@@ -49,10 +53,57 @@ def write_assignments(df: DataFrame, path: str) -> None:
 
 
 def last_matching_line(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """The last line of each file that a pattern matches, by its place in the file."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    hits = lines.where(F.col("text").rlike(pattern))
-    return hits.groupBy("file").agg(F.max_by(F.regexp_extract("text", pattern, 1), "line").alias("value"))
+    """The last line of each file that a pattern matches, by its place in the file. Lines are rows, so no file is held whole:
+    splits of a file are in order of their offsets, and so are the lines of a split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    hits = lines.where(F.col("value").rlike(pattern))
+    return hits.groupBy("file").agg(F.max_by(F.regexp_extract("value", pattern, 1), "at").alias("value"))
+
+
+def read_weak_labels(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``tracklet_key, tokens, confidence`` from CSV with a column per attribute; a column that names a reference identity is
+    left out, and unknown values give no token."""
+    raw = require(spark.read.option("header", "true").csv(path), ["tracklet_key"])
+    used = [c for c in columns if c in raw.columns and "global_id" not in c]
+    tokens = expr.tokens_of_map(F.create_map(*[x for c in used for x in (F.lit(c), F.col(f"`{c}`"))])) if used else F.array().cast("array<string>")
+    confidence = F.expr("try_cast(confidence AS double)") if "confidence" in raw.columns else F.lit(None).cast("double")
+    return raw.select("tracklet_key", tokens.alias("tokens"), confidence.alias("confidence"))
+
+
+def write_weak_labels(labels: DataFrame, path: str) -> None:
+    """A row per tracklet with its distinct tokens, ``a:b|c:d`` in order, and its highest confidence."""
+    out = labels.select("tracklet_key", "confidence", F.explode_outer("tokens").alias("token")).groupBy("tracklet_key")
+    out = out.agg(F.array_join(F.array_sort(F.collect_set("token")), "|").alias("tokens"), F.max("confidence").alias("confidence"))
+    out.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, member, video, id, n`` of Parquet members in submission archives: an archive is read by one task, a member at a
+    time; the video is the member's stem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(m for m in z.namelist() if m.endswith(".parquet")):
+                        ids = pq.read_table(io.BytesIO(z.read(member)), columns=["id"]).column("id").cast(pa.int64())
+                        found = ids.value_counts()
+                        n = len(found)
+                        columns = [pa.array([x] * n, pa.string()) for x in (name, member, member.rsplit("/", 1)[-1].removesuffix(".parquet"))]
+                        yield pa.RecordBatch.from_arrays([*columns, found.field("values"), found.field("counts")], names=["archive", "member", "video", "id", "n"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, member string, video string, id long, n long")
+
+
+def read_truth(spark: SparkSession, path: str, pattern: str = "(MCAM[0-9]+)") -> DataFrame:
+    """Truth boxes of Parquet files, keyed by what the pattern finds in a file's name; files without it are an error of the caller's
+    and have a null key."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return require(df, ["frame", "id", "x1", "y1", "x2", "y2"]).select("*", F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).alias("key"))
 
 
 def camera_centre(r: Column, t: Column) -> Column:

@@ -35,3 +35,28 @@ def test_poses_and_functions(spark, tmp_path):
     assert f(expr.tokens_of_map(F.create_map(F.lit("Color"), F.lit(" Black "), F.lit("hat"), F.lit("unknown")))) == ["color:black"]
     assert f(expr.clock_ms(F.lit("01:02:03.250"))) == 3723250
     assert f(expr.colour(F.lit(200), F.lit(30), F.lit(30))) == "red" and f(expr.colour(F.lit(None), F.lit(1), F.lit(1))) == "unknown"
+
+
+def test_labels_archives_truth_and_logs(spark, tmp_path):
+    import zipfile
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "w.csv").write_text("tracklet_key,upper_color,hat,confidence,reference_global_id\na,Red,unknown,0.5,7\nb,,Yes,x,8\n")
+    labels = io.read_weak_labels(spark, f"{tmp_path}/w.csv", ["upper_color", "hat", "reference_global_id"])
+    assert sorted(map(tuple, labels.collect())) == [("a", ["upper_color:red"], 0.5), ("b", ["hat:yes"], None)]
+    io.write_weak_labels(labels.unionByName(labels), f"{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/out").collect())) == [("a", "upper_color:red", "0.5"), ("b", "hat:yes", None)]
+    table = pa.table({"frame": [1, 2, 3], "id": [4, 4, 5], "x1": [0, 0, 0], "y1": [0, 0, 0], "x2": [1, 1, 1], "y2": [1, 1, 1]})
+    pq.write_table(table, tmp_path / "gt_MCAM07_a.parquet")
+    (tmp_path / "gt").mkdir()
+    (tmp_path / "gt_MCAM07_a.parquet").rename(tmp_path / "gt" / "gt_MCAM07_a.parquet")
+    assert {(r.key, r.id) for r in io.read_truth(spark, f"{tmp_path}/gt").collect()} == {("MCAM07", 4), ("MCAM07", 5)}
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.write(tmp_path / "gt" / "gt_MCAM07_a.parquet", "sub/V1.parquet")
+        z.writestr("readme.txt", "x")
+    assert {(r.video, r.id, r.n) for r in io.read_submissions(spark, str(tmp_path)).collect()} == {("V1", 4, 2), ("V1", 5, 1)}
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("score=1\nother\nscore=3\nscore=2\nend\n")
+    assert [r.value for r in io.last_matching_line(spark, f"{tmp_path}/logs", "score=([0-9]+)").collect()] == ["2"]
