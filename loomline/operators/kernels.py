@@ -20,6 +20,15 @@ def average_linkage(n: int, edges: list[tuple[int, int, float]], theta: float, f
         d[i, j] = d[j, i] = 1.0 - min(max(s, 0.0), 1.0)
     for i, j in forbidden:
         d[i, j] = d[j, i] = FORBIDDEN
+    return merge_closest(d, 1.0 - theta, count)
+
+
+def merge_closest(d: np.ndarray, below: float, count: int | None = None) -> np.ndarray:
+    """Average linkage of a matrix of distances, which it uses up: the closest two clusters merge while closer than ``below``, or
+    until ``count`` are left."""
+    n = len(d)
+    if n == 0:
+        return np.zeros(0, np.int64)
     np.fill_diagonal(d, np.inf)
     size, root, alive = np.ones(n), np.arange(n), n
     # Each row's least distance and its first place; a merge changes two rows, and others only where these were their nearest.
@@ -28,7 +37,7 @@ def average_linkage(n: int, edges: list[tuple[int, int, float]], theta: float, f
     while alive > (count or 1):
         i = int(least.argmin())
         i, j = sorted((i, int(place[i])))
-        if not np.isfinite(d[i, j]) or (count is None and d[i, j] >= 1.0 - theta):
+        if not np.isfinite(d[i, j]) or (count is None and d[i, j] >= below):
             break
         merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
