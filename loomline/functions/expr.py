@@ -182,6 +182,12 @@ def box_hash(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[F.concat(c.cast("long").cast("string"), F.lit(".0")) for c in (x1, y1, x2, y2)]), F.lit("]")), 256)
 
 
+def json_box_hash(*corners: Column) -> Column:
+    """SHA-256 of corners as a JSON list of numbers, each rounded to six decimals and written without trailing zeros (one decimal at least)."""
+    number = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(c.cast("double"), 6)), "0+$", ""), "\\.$", ".0")
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[number(c) for c in corners]), F.lit("]")), 256)
+
+
 def pair(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
 

@@ -80,13 +80,17 @@ def guarded_graph(spark, sf):
 
 @query("R11_weak_edges")
 def weak_edges(spark, sf):
-    """Candidate pairs by tokens and by trajectory, scored 0.60 appearance + 0.32 tokens + 0.08 trajectory."""
+    """Candidate pairs by appearance, tokens and trajectory, scored 0.60 appearance + 0.32 tokens + 0.08 trajectory."""
     t = tracklets(detections(spark, sf))
     tokens = weak_tokens(t)
     by_token = joins.token_pairs(tokens, "seq", "tokens", 0.05, 2).select("i", "j", F.lit("tokens").alias("why"))
     near = joins.interval_pairs(t.select("seq", "video", "camera", "frame0", "frame1"), ["video", "camera"], "frame0", "frame1", "seq", 240, 30)
     by_path = near.select(F.col("a_seq").alias("i"), F.col("b_seq").alias("j"), F.lit("trajectory").alias("why"))
-    pairs = by_token.unionByName(by_path).groupBy("i", "j").agg(F.sort_array(F.collect_set("why")).alias("why"))
+    looks = tracklet_vectors(spark, sf, t.select("seq", F.xxhash64("video", "camera").alias("stream")))
+    look = lambda name, v: looks.select(F.col("seq").alias(name), F.col("stream").alias(f"{v[0]}_stream"), F.col("vec").alias(v))
+    by_look = joins.nearest(look("query", "q_vec"), look("item", "i_vec"), 8, apart=("q_stream", "i_stream"))
+    by_look = by_look.select(F.least("query", "item").alias("i"), F.greatest("query", "item").alias("j"), F.lit("visual").alias("why")).distinct()
+    pairs = by_token.unionByName(by_path).unionByName(by_look).groupBy("i", "j").agg(F.sort_array(F.collect_set("why")).alias("why"))
     own = tracklet_vectors(spark, sf, t.select("seq", "video", "camera", "frame0", "frame1")).join(tokens, "seq")
     side = lambda s, k: own.select(F.col("seq").alias(k), *[F.col(c).alias(f"{s}_{c}") for c in ("video", "camera", "frame0", "frame1", "vec", "tokens")])
     p = pairs.join(side("a", "i"), "i").join(side("b", "j"), "j")
@@ -201,6 +205,20 @@ def match_or_expand(spark, sf):
     return matched(spark, sf).select("scope", "seq", "step", "gid", "decision_type", "admit_reason")
 
 
+@query("T4_admissions")
+def admissions(spark, sf):
+    """How many tracks each identity's bank took, and why others were left out."""
+    return matched(spark, sf).groupBy("scope", "gid", "admit_reason").agg(F.count("*").alias("n"))
+
+
+@query("T5_decision_trail")
+def decision_trail(spark, sf):
+    """The candidates of each decision, at most six, with their scores and what ruled them out."""
+    trail = F.posexplode(F.arrays_zip("candidates", "scores", "vetoes")).alias("rank", "c")
+    m = matched(spark, sf).select("scope", "seq", "step", "gid", "decision_type", trail)
+    return m.select("scope", "seq", "step", "gid", "decision_type", "rank", F.col("c.candidates").alias("candidate"), F.col("c.scores").alias("score"), F.col("c.vetoes").alias("veto"))
+
+
 @query("EXT_decision_states", f"WITH {DEC} SELECT gid, CASE WHEN max((decision_type = 'forced')::INT) = 1 THEN 'forced' WHEN count(*) FILTER (WHERE admitted) * 2 >= count(*) THEN 'committed' ELSE 'provisional' END AS status FROM dec GROUP BY gid")
 def decision_states(spark, sf):
     d = decisions(tracklets(detections(spark, sf)))
