@@ -14,6 +14,6 @@ def above_join(df):
     return "\n".join(lines[: next(k for k, line in enumerate(lines) if "Join" in line)])
 
 
-@pytest.mark.parametrize("name", ["R17_consensus_votes"])
+@pytest.mark.parametrize("name", ["R17_consensus_votes", "U6_dedup_edges"])
 def test_pairs_are_not_shuffled(spark, name):
     assert "Aggregate" not in above_join(__spark_entry__.queries()[name](spark, SF))
