@@ -17,3 +17,18 @@ def above_join(df):
 @pytest.mark.parametrize("name", ["R17_consensus_votes", "U6_dedup_edges"])
 def test_pairs_are_not_shuffled(spark, name):
     assert "Aggregate" not in above_join(__spark_entry__.queries()[name](spark, SF))
+
+
+def test_interval_pairs_broadcast_no_spread_side(spark):
+    rows = spark.createDataFrame([(i, i % 2, i, i + 3) for i in range(40)], "id long, k long, lo long, hi long")
+    plan = joins.interval_pairs(rows, ["k"], "lo", "hi", "id", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_interval_pairs_look_at_a_pair_once(spark):
+    """Of each pair of sides one is in the bucket of its start alone: long intervals don't meet in every bucket they share."""
+    rows = spark.createDataFrame([(i, 1, i, i + 999) for i in range(4)], "id long, k long, lo long, hi long")
+    df = joins.interval_pairs(rows, ["k"], "lo", "hi", "id", 1)
+    assert df.count() == 6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == plan.count("Join Inner") == 2
