@@ -32,3 +32,8 @@ def test_interval_pairs_look_at_a_pair_once(spark):
     assert df.count() == 6
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == plan.count("Join Inner") == 2
+
+
+@pytest.mark.parametrize("name", ["T3_vetoes"])
+def test_pairs_of_intervals_broadcast_nothing(spark, name):
+    assert "BroadcastHashJoin" not in __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
