@@ -78,3 +78,28 @@ def test_matcher():
     assert m.add("w", [1], [(500, 500, 510, 510)], x)["vetoes"][0] == "same_frame"
     assert m.add("w", [9], [(0, 0, 1, 1)], y)["decision_type"] == "expand"
     assert kernels.Matcher(coherent=0.5).add("v", [1], [(0, 0, 1, 1)], x, 0.1)["admit_reason"] == "quarantine"
+
+
+def test_linkage_of_a_day_holds_a_matrix_and_no_rows_of_pairs():
+    import tracemalloc
+
+    import pandas as pd
+
+    from loomline.plans.live import _linked
+
+    n = 700
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = pd.DataFrame({"seq": range(n), "day": 1, "vec": list(x), "video": "v", "camera": [f"c{k % 3}" for k in range(n)], "frame0": range(n), "frame1": range(5, n + 5)})
+    tracemalloc.start()
+    got = _linked(g, apart=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * n * n * 8
+    s = np.round(x @ x.T, 6)
+    pairs = [(i, j, s[i, j]) for i in range(n) for j in range(i + 1, n)]
+    barred = {(i, j) for i in range(n) for j in range(i + 1, n) if j - i <= 5 and (j - i) % 3 == 0}
+    labels = kernels.average_linkage(n, pairs, 0.25, barred)
+    first = {c: int(np.flatnonzero(labels == c).min()) for c in set(labels.tolist())}
+    assert got.label.tolist() == [first[c] for c in labels.tolist()]
