@@ -14,7 +14,7 @@ def above_join(df):
     return "\n".join(lines[: next(k for k, line in enumerate(lines) if "Join" in line)])
 
 
-@pytest.mark.parametrize("name", ["R17_consensus_votes", "U6_dedup_edges"])
+@pytest.mark.parametrize("name", ["R17_consensus_votes", "U6_dedup_edges", "J13_token_pairs"])
 def test_pairs_are_not_shuffled(spark, name):
     assert "Aggregate" not in above_join(__spark_entry__.queries()[name](spark, SF))
 
@@ -37,3 +37,11 @@ def test_interval_pairs_look_at_a_pair_once(spark):
 @pytest.mark.parametrize("name", ["T3_vetoes"])
 def test_pairs_of_intervals_broadcast_nothing(spark, name):
     assert "BroadcastHashJoin" not in __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_token_pairs(spark, least):
+    rows = [(k, [f"t{(k * m) % 7}" for m in (1, 2, 3, 5)]) for k in range(30)]
+    got = joins.token_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), "id", "tokens", 1.0, least)
+    want = [(i, j, len(set(a) & set(b))) for i, a in rows for j, b in rows if i < j and len(set(a) & set(b)) >= least]
+    assert sorted((r.i, r.j, r.n_shared) for r in got.collect()) == sorted(want)
