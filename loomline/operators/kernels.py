@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from statistics import median
 
 import numpy as np
 
@@ -210,6 +211,12 @@ def link_frames(frames: list[tuple[int, list[tuple[int, tuple]]]], least: float
     return out
 
 
+def _iou(a: tuple, b: tuple) -> float:
+    """:func:`iou` of two boxes."""
+    shared = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    return shared / max((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared, 1e-9)
+
+
 @dataclass
 class Matcher:
     """Online match, expand or quarantine. ``bank`` holds exemplars; a track joins the identity of its best exemplar over ``tau`` that
@@ -226,20 +233,51 @@ class Matcher:
     next_id: int = 0
     step: int = 0
 
+    # The bank as arrays: its different vectors, and of each exemplar the identity and which of these it is.
+    _kinds: dict = field(default_factory=dict)
+    _x: np.ndarray | None = None
+    _gid: np.ndarray = field(default_factory=lambda: np.zeros(64, np.int64))
+    _of: np.ndarray = field(default_factory=lambda: np.zeros(64, np.int64))
+    _own: dict = field(default_factory=dict)  # identity -> which vectors
+    _indexed: int = 0
+
+    def _index(self) -> None:
+        """Takes exemplars that are new in ``bank``."""
+        for gid, v in self.bank[self._indexed :]:
+            v = np.asarray(v, float) + 0.0
+            u = self._kinds.setdefault(v.tobytes(), len(self._kinds))
+            if self._x is None:
+                self._x = np.zeros((64, len(v)))
+            if u == len(self._x):
+                self._x = np.concatenate([self._x, np.zeros_like(self._x)])
+            if self._indexed == len(self._gid):
+                self._gid, self._of = (np.concatenate([c, np.zeros_like(c)]) for c in (self._gid, self._of))
+            self._x[u], self._gid[self._indexed], self._of[self._indexed] = v, gid, u
+            self._own.setdefault(gid, []).append(u)
+            self._indexed += 1
+
     def _vetoed(self, gid: int, video: str, frames, boxes) -> str | None:
         past = self.seen.get(gid, {})
-        both = [(np.array([b], float), np.array([past[video, f]], float)) for f, b in zip(frames, boxes, strict=True) if (video, f) in past]
-        if both and float(np.median([iou(a, b)[0, 0] for a, b in both])) < self.same_frame_iou:
+        both = [(b, past[video, f]) for f, b in zip(frames, boxes, strict=True) if (video, f) in past]
+        if both and float(median(_iou(a, b) for a, b in both)) < self.same_frame_iou:
             return "same_frame"
         return None
 
     def add(self, video: str, frames, boxes, vector: np.ndarray, coherence: float = 1.0) -> dict:
-        best: dict[int, float] = {}
-        for gid, v in self.bank:
-            best[gid] = max(best.get(gid, -2.0), float(v @ vector))
+        self._index()
+        frames, boxes = [int(f) for f in frames], [tuple(float(c) for c in b) for b in boxes]
+        vector = np.asarray(vector, float)
+        sims = self._x[: len(self._kinds)] @ vector if self.bank else np.zeros(0)
         chosen, kind, tried = None, "quarantine" if coherence < self.coherent else "expand", []
-        if kind == "expand":
-            for gid, sim in sorted(best.items(), key=lambda x: (-x[1], x[0])):
+        if kind == "expand" and self.bank:
+            gids = self._gid[: self._indexed]
+            best = np.full(int(gids.max()) + 1, -np.inf)
+            np.maximum.at(best, gids, np.maximum(sims[self._of[: self._indexed]], -2.0))
+            near = np.flatnonzero(best >= self.tau)
+            rest = np.flatnonzero(np.isfinite(best) & (best < self.tau))
+            order = near[np.lexsort((near, -best[near]))].tolist() + ([int(rest[best[rest].argmax()])] if len(rest) else [])
+            for gid in order:
+                sim = float(best[gid])
                 if sim < self.tau:
                     tried.append((gid, sim, "below_tau"))
                     break
@@ -252,7 +290,7 @@ class Matcher:
             chosen, self.next_id = self.next_id, self.next_id + 1
         for f, b in zip(frames, boxes, strict=True):
             self.seen.setdefault(chosen, {})[video, f] = b
-        own = [float(v @ vector) for gid, v in self.bank if gid == chosen]
+        own = [float(sims[u]) for u in self._own.get(chosen, ())]
         why = (
             "quarantine" if kind == "quarantine" else "bank_full" if len(own) >= self.room
             else "redundant" if own and max(own) >= self.admit_tau else "incoherent" if own and min(own) < self.floor else "added"
